@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracles, quality_rules
+from . import oracles, packing, quality_rules, token_orc
 from .common import table
+from .tokens import public_path
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json")))
+
+
+def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_orc.round_trip(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
