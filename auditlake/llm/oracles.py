@@ -61,3 +61,17 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
          and not coalesce(cd > {rules.short_char_distance}, false) as kept,
        round(cd, 6) char_distance, round(wd, 6) word_distance
 from j"""
+
+
+def op2(every: int = 50, k: int = 5, scale: int = 256, source: str = "embeddings") -> str:
+    finite = "x is not null and isfinite(x)"
+    return f"""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) v from {source}
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: {finite})) = len(embedding)),
+q as (select distinct * from v where vec_id % {every} = 0),
+s as (
+  select q.vec_id query_id, v.vec_id, list_inner_product(q.v::double[], v.v::double[])::bigint score
+  from q join v on q.vec_id <> v.vec_id and len(q.v) = len(v.v)),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) "rank" from s)
+select query_id, "rank"::int "rank", vec_id, score from r where "rank" <= {k}"""

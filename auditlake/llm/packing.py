@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import only, written
 from .tokens import encoder, shipped
 
@@ -109,6 +110,7 @@ def plan(stock: dict[int, int], window: int, slack: int) -> Plan:
 
 def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> DataFrame:
     """Windows and remainders with their ids. local_rank counts the pieces of a length in a partition."""
+    ship(docs.sparkSession)
     spec = shipped(docs.sparkSession.sparkContext, tokenizer)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracles, packing, quality_rules, token_orc
+from . import inner_products, oracles, packing, quality_rules, token_orc
 from .common import table
 from .tokens import public_path
 
@@ -15,6 +15,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
 
+def op2_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inner_products.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json")))
 
@@ -28,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": oracles.op1()}
+    return {"op1_quality_rules": oracles.op1(), "op2_top_inner_products": oracles.op2()}

@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import fresh_path, only
 from .tokens import encoder, shipped
 
@@ -28,6 +29,7 @@ def write_ids(
 ) -> None:
     """Encodes every whole text and writes the ORC files. part numbers the files' ranges in ascending order."""
     spark = docs.sparkSession
+    ship(spark)
     spec = shipped(spark.sparkContext, tokenizer)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
