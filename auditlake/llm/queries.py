@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import inner_products, main_text, oracles, packing, quality_classifier, quality_rules, token_orc
+from . import inner_products, main_text, near_duplicates, oracles, packing, quality_classifier, quality_rules, token_orc
 from .common import table
 from .tokens import public_path
 
@@ -35,6 +35,10 @@ def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.round_trip(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
