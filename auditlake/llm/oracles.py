@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import line_dedup as ld
 from . import quality_rules as qr
 
 
@@ -75,3 +76,26 @@ s as (
   from q join v on q.vec_id <> v.vec_id and len(q.v) = len(v.v)),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) "rank" from s)
 select query_id, "rank"::int "rank", vec_id, score from r where "rank" <= {k}"""
+
+
+def op5(p: ld.Lines = ld.Lines(), source: str = "documents") -> str:
+    return rf"""
+with r as (select distinct doc_id, text from {source} where doc_id is not null and text is not null),
+l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 line_no from r),
+s as (select doc_id, line_no, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) w from l),
+c as (select w, min((doc_id, line_no)) place, len(w) n from s where len(w) >= {p.min_words} group by w),
+i as (select row_number() over () id, w, place, n from c),
+t as (select id, unnest(w) x from i),
+f as (select x, count(*) df from t group by x having count(*) > 1),
+g as (select t.id, t.x, i.n, row_number() over (partition by t.id order by f.df, t.x) rare
+      from t join f using (x) join i using (id)),
+h as (select id, x, n from g where rare <= n - ceil({p.percent} * n / 100.0)::bigint + 1),
+k as (select distinct a.id a, b.id b from h a join h b on a.x = b.x and a.id < b.id
+      and 100 * least(a.n, b.n) >= {p.percent} * greatest(a.n, b.n)),
+m as (select k.a, k.b, len(list_intersect(p.w, q.w)) common, p.n + q.n total from k join i p on p.id = k.a join i q on q.id = k.b),
+e as (select a, b from m where 100 * common >= {p.percent} * (total - common)),
+y as (select a, b from e union all select b, a from e),
+z as (select y.a id, min(o.place) other, count(*) n_links from y join i o on o.id = y.b group by y.a),
+j as (select i.w, i.place, least(i.place, coalesce(z.other, i.place)) hit, coalesce(z.n_links, 0) n_links from i left join z using (id))
+select distinct s.doc_id, s.line_no::int line_no, len(s.w)::bigint n_words, hit[1] match_doc_id, hit[2]::int match_line_no, n_links::bigint n_links
+from s join j on j.w = s.w where (s.doc_id, s.line_no) <> hit"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import inner_products, main_text, near_duplicates, oracles, packing, quality_classifier, quality_rules, token_orc
+from . import inner_products, line_dedup, main_text, near_duplicates, oracles, packing, quality_classifier, quality_rules, token_orc
 from .common import table
 from .tokens import public_path
 
@@ -27,6 +27,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.matches(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json")))
 
@@ -44,4 +48,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": oracles.op1(), "op2_top_inner_products": oracles.op2()}
+    return {"op1_quality_rules": oracles.op1(), "op2_top_inner_products": oracles.op2(), "op5_line_dedup": oracles.op5()}
