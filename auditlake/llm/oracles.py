@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import line_dedup as ld
+from . import mixing as mx
 from . import quality_rules as qr
 
 
@@ -99,3 +100,21 @@ z as (select y.a id, min(o.place) other, count(*) n_links from y join i o on o.i
 j as (select i.w, i.place, least(i.place, coalesce(z.other, i.place)) hit, coalesce(z.n_links, 0) n_links from i left join z using (id))
 select distinct s.doc_id, s.line_no::int line_no, len(s.w)::bigint n_words, hit[1] match_doc_id, hit[2]::int match_line_no, n_links::bigint n_links
 from s join j on j.w = s.w where (s.doc_id, s.line_no) <> hit"""
+
+
+def op10(m: mx.Mix = mx.Mix(), source: str = "documents") -> str:
+    """For the default budget and no target entropy."""
+    key = f"md5(concat('{m.seed}:', {{}}::varchar, ':', coalesce(doc_id::varchar, '')))"
+    return rf"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint n from {source}),
+s as (select source, sum(n)::bigint n_tokens from d group by source),
+p as (select *, n_tokens / (select sum(n_tokens) from s)::double share from s),
+a as (select min(i) / 1048576.0::double - 1 e from range(0, 1048577) t(i)
+      where pow((select min(share) from p where share > 0) / (select max(share) from p), i / 1048576.0::double - 1) <= {m.max_repeats}),
+r as (select *, case when n_tokens > 0 then pow(share / (select max(share) from p), (select e from a)) else 1 end repeats from p),
+q as (select *, floor(repeats)::int epochs, floor((repeats - floor(repeats)) * n_tokens)::bigint rest from r),
+k as (select d.*, q.epochs, q.rest, {key.format('epochs')} k from d join q on d.source is not distinct from q.source),
+u as (select *, sum(n) over (partition by source order by k) upto from k),
+t as (select *, epochs + case when upto <= rest then 1 else 0 end times from u),
+x as (select doc_id, source, n, unnest(range(0, times)) epoch from t)
+select doc_id, source, n n_tokens, epoch::int epoch, substr({key.format('epoch')}, 1, {m.block_digits}) block from x"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import inner_products, line_dedup, main_text, near_duplicates, oracles, packing, quality_classifier, quality_rules, token_orc
+from . import inner_products, line_dedup, main_text, mixing, near_duplicates, oracles, packing, quality_classifier, quality_rules, token_orc
 from .common import table
 from .tokens import public_path
 
@@ -43,9 +43,13 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(table(spark, sf_dir, "documents"))
 
 
+def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": oracles.op1(), "op2_top_inner_products": oracles.op2(), "op5_line_dedup": oracles.op5()}
+    return {"op1_quality_rules": oracles.op1(), "op2_top_inner_products": oracles.op2(), "op5_line_dedup": oracles.op5(), "op10_temperature_mixing": oracles.op10()}
