@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,46 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def sketched(wanted: DataFrame, *key: str, bits: int = 1 << 20):
+    """A test of key columns that holds for every key of `wanted` and, as long as they fill few of the bits, for few others.
+
+    The sketch is a bitmap of fixed size, however many keys there are; an exact join has to follow.
+    """
+    place = F.expr(f"cast(pmod(xxhash64({', '.join(key)}), {bits}) as int)")
+    mask = np.zeros(bits, bool)
+    mask[[r[0] for r in wanted.select(place.alias("b")).distinct().toLocalIterator()]] = True
+    shared = wanted.sparkSession.sparkContext.broadcast(np.packbits(mask))
+
+    def held(places: pd.Series) -> pd.Series:
+        return pd.Series(np.unpackbits(shared.value).astype(bool)[places.to_numpy()])
+
+    test = F.pandas_udf(held, "boolean")
+    return lambda *columns: test((F.pmod(F.xxhash64(*columns), F.lit(bits))).cast("int"))
+
+
+def bucket_values(found: DataFrame, n: int) -> F.Column:
+    """The summed values v of (b, v) as an array over b = 0..n-1, as a scalar subquery; n is fixed, whatever the input."""
+    every = found.sparkSession.range(n).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("v"))
+    total = found.select("b", "v").unionByName(every).groupBy("b").agg(F.sum("v").alias("v"))
+    return total.agg(F.array_sort(F.collect_list(F.struct("b", "v"))).alias("p")).select(F.expr("p.v")).scalar()
+
+
+def marked(ids: DataFrame, n: int = 1 << 18) -> F.Column:
+    """A test of doc_id in DataFrame expressions: holds for every doc_id of `ids` and, as long as they fill few of the n buckets, for few others."""
+    bucket = F.expr(f"cast(pmod(xxhash64(doc_id), {n}) as int)")
+    found = ids.select(bucket.alias("b")).distinct().withColumn("v", F.lit(1).cast("long"))
+    return F.get(bucket_values(found, n), bucket) > 0
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but for the rows whose doc_id is in gone (doc_id). Only rows that may be in it are shuffled, not all texts."""
+    gone = written(gone.select("doc_id").distinct(), "gone")
+    test = marked(gone)
+    maybe = docs.where(test)
+    of = gone.select(F.col("doc_id").alias("_gone"))
+    return docs.where(~test).unionByName(maybe.join(of, maybe["doc_id"].eqNullSafe(of["_gone"]), "left_anti"))
+
+
 def words(text: str = "text") -> str:
     """SQL for the array of words of a text column; a null text has none."""
     return f"array_remove(split(coalesce({text}, ''), '[\\\\x20\\\\x09-\\\\x0D]+'), '')"

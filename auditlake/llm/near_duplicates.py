@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import only, written
+from .common import only, sketched, without, written
 from .components import connected
 from .shingles import shingle_set
 
@@ -87,17 +87,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, j: Join) -> DataFrame:
 
     A bitmap of fixed size keeps most other documents from being cut into shingles; the join after it is exact.
     """
-    bits = wanted.select(F.expr(f"cast(pmod(xxhash64(doc), {j.filter_bits}) as int)").alias("b")).distinct()
-    mask = np.zeros(j.filter_bits, bool)
-    mask[[r["b"] for r in bits.toLocalIterator()]] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(mask))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            keep = np.flatnonzero(on[batch.column(2).to_numpy()])
-            for low in range(0, len(keep), 256):
-                some = batch.take(pa.array(keep[low : low + 256]))
+            for low in range(0, batch.num_rows, 256):
+                some = batch.slice(low, 256)
                 found = [shingle_set(t, j.k) for t in some.column(1).to_pylist()]
                 prints = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in found]
                 ends = np.cumsum([0, *map(len, found)])
@@ -107,12 +100,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, j: Join) -> DataFrame:
                     names=["doc_id", "own_print", "own"],
                 )
 
+    may_be = sketched(wanted.select("doc"), "doc", bits=j.filter_bits)
     rows = only(docs, "doc_id", "text").where("doc_id is not null")
-    rows = rows.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        "text",
-        F.expr(f"cast(pmod(xxhash64(cast(doc_id as long)), {j.filter_bits}) as int)").alias("b"),
-    )
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(may_be("doc_id"))
     found = rows.mapInArrow(run, "doc_id long, own_print binary, own array<long>")
     joined = found.join(wanted, F.col("own_print") == F.col("print"))
     # equal texts past the bitmap count once
@@ -209,5 +199,4 @@ def classes(docs: DataFrame, j: Join = Join()) -> DataFrame:
 
 def kept(docs: DataFrame, j: Join = Join()) -> DataFrame:
     """One document of each component, with all its columns; repeated rows of a kept doc_id all stay."""
-    gone = classes(docs, j).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    return without(docs, classes(docs, j).where("not kept"))

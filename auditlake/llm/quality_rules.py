@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, words, written
+from .common import only, without, words, written
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -183,5 +183,5 @@ def quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def kept(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents that pass, with all their columns. A null doc_id is judged as its own key; equal ids with different texts are each judged, and a text stays if any row of its id passes."""
-    passed = quality(docs, rules).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(passed, docs["doc_id"].eqNullSafe(passed["_id"]), "left_semi")
+    verdicts = quality(docs, rules).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    return without(docs, verdicts.where("not kept"))
