@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import inner_products, line_dedup, main_text, mixing, near_duplicates, oracles, packing, quality_classifier, quality_rules, token_orc
+from . import inner_products, line_dedup, main_text, mixing, near_duplicates, oracles, packing, passages, quality_classifier, quality_rules, token_orc
 from .common import table
 from .tokens import public_path
 
@@ -31,6 +31,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.matches(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json")))
 
