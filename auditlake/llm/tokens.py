@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Iterable
@@ -11,8 +12,9 @@ from itertools import chain
 import numpy as np
 from pyspark import SparkContext
 
-#: Chunks remembered by one Python worker, in two generations of half as many; at about 250 bytes each.
-MEMO_ENTRIES = 1_000_000
+#: Chunks remembered by one memo, in two generations of half as many; at about 200 bytes each. A Python worker has
+#: four: of chunks as they stand and of the letters in them, with and without a blank before them.
+MEMO_ENTRIES = 400_000
 _UNEVEN = re.compile(r"\s\s|^\s|\s$")
 _INNER = re.compile(r"(?<=\S) (?=\S)")
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
@@ -20,22 +22,25 @@ _MARKS = ".,!?;:"
 _encoders: dict[str, "Encoder"] = {}
 
 
-class _Memo(dict):
-    """Chunk -> ids. Letters followed by marks are looked up apart, as both kinds of pre-tokenizer part them there."""
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as one character: printable Latin-1 as itself, the others from U+0100 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in own)
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_BYTES = str.maketrans(_byte_letters())
 
-    def __init__(self, encode, marks, lowers: bool):
+
+class _Memo(dict):
+    def __init__(self, make):
         super().__init__()
-        self.encode, self.marks, self.lowers, self.old = encode, marks, lowers, {}
+        self.make, self.old = make, {}
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
-        core = chunk.rstrip(_MARKS)
-        if core != chunk and _LETTERS.fullmatch(core):
-            return self[core] + self.marks(chunk[len(core) :])
-        if self.lowers and chunk.isascii() and (small := chunk.lower()) != chunk:
-            return self[small]
         found = self.old.get(chunk)
         if found is None:
-            found = self.encode(chunk)
+            found = self.make(chunk)
         if len(self) >= MEMO_ENTRIES // 2:
             self.old = dict(self)
             self.clear()
@@ -59,11 +64,33 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         ints = list(range(self.size))
+        model = self.tokenizer.model
         one = lambda s: tuple(ints[i] for i in self.tokenizer.encode(s, add_special_tokens=False).ids)
+        as_bytes = lambda s: s.encode().decode("latin-1").translate(_BYTES)
+        bare = lambda s: tuple([ints[t.id] for t in model.tokenize(s)])
         self.drops_space = not one(" ") and not one("\n")
         self.line_feed = one("\n")
         marks, lowers = lru_cache(4096)(one), one("ABC XYZ") == one("abc xyz")
-        self.bare, self.spaced = _Memo(one, marks, lowers), _Memo(lambda s: one(f" {s}"), marks, lowers)
+
+        def memo(before: str) -> _Memo:
+            """Letters of one word go to the tokenizer's model itself, if that gives the same ids; marks after them are apart in both kinds."""
+            probe = ["word", "Éclairs", "überaus", "xyzzy", "A", "straße", "THEM", "niño", "qwrtpsdfghjkl"]
+            small = (lambda s: s.lower()) if lowers else (lambda s: s)
+            first = as_bytes(before)
+            direct = lambda s: bare(first + (s if s.isascii() else as_bytes(s)))
+            same = all(direct(small(w)) == one(before + w) for w in probe)
+            letters = _Memo(direct if same else (lambda s: one(before + s)))
+
+            def made(chunk: str) -> tuple[int, ...]:
+                core = chunk.rstrip(_MARKS)
+                if _LETTERS.fullmatch(core):
+                    found = letters[small(core)]
+                    return found if core == chunk else found + marks(chunk[len(core) :])
+                return one(before + chunk)
+
+            return _Memo(made)
+
+        self.bare, self.spaced = memo(""), memo(" ")
 
     def parts(self, text: str) -> Iterable[tuple[int, ...]]:
         if self.drops_space:
@@ -97,6 +124,7 @@ def encoder(spec: str) -> Encoder:
     """One encoder a Python worker and tokenizer file."""
     found = _encoders.get(spec)
     if found is None:
+        gc.set_threshold(500_000, 50, 1000)  # millions of remembered tuples, and no cycles among them
         _encoders.clear()
         found = _encoders[spec] = Encoder(spec)
     return found
