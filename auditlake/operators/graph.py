@@ -41,28 +41,33 @@ def orphans(nodes: DataFrame, edges: DataFrame, home: DataFrame | None = None) -
     return found if home is None else found.join(home.select("node"), "node", "left_anti")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 40, every: int = 10) -> DataFrame:
-    """node, pagerank (5 decimals): uniform start, dangling mass spread evenly, normalised at the end."""
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 40) -> DataFrame:
+    """node, pagerank (5 decimals): uniform start, dangling mass spread evenly, normalised at the end.
+
+    Ranks are cut from their lineage every round: each round reads them twice, so that uncut plans would double.
+    Only the dangling mass, one number, reaches the driver.
+    """
     own = nodes.select("node").distinct()
     links = closed(edges, own)
     out = links.groupBy("src").agg(F.count("*").alias("n"))
     links = cut(links.join(out, "src").select("src", "dst", (1 / F.col("n")).alias("share")))
-    total = own.count()
+    ends = own.join(out.select(F.col("src").alias("node"), F.lit(True).alias("linked")), "node", "left")
+    ends = cut(ends.select("node", F.coalesce("linked", F.lit(False)).alias("linked")))
+    total = ends.count()
     if not total:
         return own.withColumn("pagerank", F.lit(0.0))
-    ends = own.join(out.select(F.col("src").alias("node"), F.lit(True).alias("linked")), "node", "left")
-    ranks = cut(ends.select("node", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(1.0 / total).alias("rank")))
-    for k in range(iterations):
-        lost = ranks.agg(F.sum(F.when(~F.col("linked"), F.col("rank"))).alias("lost"))
+    ranks = ends.withColumn("rank", F.lit(1.0 / total))
+    for _ in range(iterations):
+        lost = ranks.agg(F.sum(F.when(~F.col("linked"), F.col("rank")))).first()[0] or 0.0
         gained = links.join(ranks.select(F.col("node").alias("src"), "rank"), "src")
         gained = gained.groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("gain"))
-        spread = F.lit((1 - damping) / total) + F.lit(damping / total) * F.coalesce(lost.scalar(), F.lit(0.0))
-        ranks = ranks.join(gained, "node", "left").select(
-            "node", "linked", (spread + F.lit(damping) * F.coalesce("gain", F.lit(0.0))).alias("rank")
+        spread = (1 - damping) / total + damping / total * lost
+        ranks = cut(
+            ranks.drop("rank")
+            .join(gained, "node", "left")
+            .select("node", "linked", (F.lit(spread) + F.lit(damping) * F.coalesce("gain", F.lit(0.0))).alias("rank"))
         )
-        if k % every == every - 1:
-            ranks = cut(ranks)
-    whole = ranks.agg(F.sum("rank")).scalar()
+    whole = ranks.agg(F.sum("rank")).first()[0]
     return ranks.select("node", F.round(F.col("rank") / whole, 5).alias("pagerank"))
 
 

@@ -52,16 +52,16 @@ def trade_degrees(spark, sf_dir):
     return graph.degrees(edges, nodes)
 
 
-@query(f"""with recursive {_TRADE}, n as (select n_nationkey node, (select count(*) from t where src = n_nationkey) o from nation), c as (select count(*)::double n from nation),
-p as (select 0 k, list(struct_pack(node := node, o := o, r := 1.0::double / c.n) order by node) v from n, c
-  union all
-  select k + 1, (select list(struct_pack(node := x.node, o := x.o, r := 0.15::double / c.n + 0.85::double / c.n * coalesce(z.lost, 0) + 0.85::double * coalesce(g.gain, 0)) order by x.node)
-    from (select unnest(p.v, recursive := true)) x, c,
-      (select sum(case when u.o = 0 then u.r end) lost from (select unnest(p.v, recursive := true)) u) z
-      left join (select t.dst, sum(y.r / y.o) gain from (select unnest(p.v, recursive := true)) y join t on t.src = y.node group by t.dst) g on g.dst = x.node)
-  from p where k < 40),
-f as (select unnest(v, recursive := true) from p where k = 40)
-select node, round(r / (select sum(r) from f), 5) pagerank from f""")
+def _rounds(n: int) -> str:
+    step = """p{b} as materialized (select x.node, x.o, 0.15::double / c.n + 0.85::double / c.n * coalesce((select sum(r) from p{a} where o = 0), 0) + 0.85::double * coalesce(g.gain, 0) r
+  from p{a} x cross join c left join (select t.dst, sum(y.r / y.o) gain from p{a} y join t on t.src = y.node group by t.dst) g on g.dst = x.node)"""
+    return ",\n".join(step.format(a=k, b=k + 1) for k in range(n))
+
+
+@query(f"""with {_TRADE}, c as (select count(*)::double n from nation),
+p0 as materialized (select n_nationkey node, (select count(*) from t where src = n_nationkey) o, 1.0::double / c.n r from nation, c),
+{_rounds(40)}
+select node, round(r / (select sum(r) from p40), 5) pagerank from p40""")
 def pagerank_40(spark, sf_dir):
     return graph.pagerank(*trade(spark, sf_dir))
 
