@@ -133,22 +133,22 @@ def plan(docs: DataFrame, m: Mix = Mix()) -> DataFrame:
 
 
 def apply(docs: DataFrame, m: Mix = Mix()) -> DataFrame:
-    """docs with a row for every time a document is read, and its epoch and block in `_epoch` and `_block`."""
+    """docs with a row for every time a document is read, and its epoch and block in `__mix_epoch` and `__mix_block`."""
     planned = written(plan(docs, m), "mix")
-    of = planned.select(F.col("source").alias("_source"), "epochs", "last_key")
+    of = planned.select(F.col("source").alias("__mix_source"), "epochs", "last_key")
     if planned.count() <= m.broadcast_sources:
         of = F.broadcast(of)
-    renamed = docs.withColumn("_mix_source", F.col("source"))
-    joined = renamed.join(of.toDF("_source", "_epochs", "_last"), F.col("_mix_source").eqNullSafe(F.col("_source")))
-    times = F.expr(f"_epochs + if({_key(m, 'cast(_epochs as string)')} <= _last, 1, 0)")
-    read = joined.withColumn("_times", times).where("_times > 0").withColumn("_epoch", F.explode(F.expr("sequence(0, _times - 1)")))
-    block = F.expr(f"substr({_key(m, 'cast(_epoch as string)')}, 1, {m.block_digits})")
-    return read.withColumn("_block", block).drop("_mix_source", "_source", "_epochs", "_last", "_times")
+    renamed = docs.withColumn("__mix_own", F.col("source"))
+    joined = renamed.join(of.toDF("__mix_source", "__mix_epochs", "__mix_last"), F.col("__mix_own").eqNullSafe(F.col("__mix_source")))
+    times = F.expr(f"__mix_epochs + if({_key(m, 'cast(__mix_epochs as string)')} <= __mix_last, 1, 0)")
+    read = joined.withColumn("__mix_times", times).where("__mix_times > 0").withColumn("__mix_epoch", F.explode(F.expr("sequence(0, __mix_times - 1)")))
+    block = F.expr(f"substr({_key(m, 'cast(__mix_epoch as string)')}, 1, {m.block_digits})")
+    return read.withColumn("__mix_block", block).drop("__mix_own", "__mix_source", "__mix_epochs", "__mix_last", "__mix_times")
 
 
 def schedule(docs: DataFrame, m: Mix = Mix()) -> DataFrame:
     """doc_id, source, n_tokens, epoch, block of every reading."""
     own = only(docs, "doc_id", "source", "text")
     return apply(own, m).select(
-        "doc_id", "source", F.expr(f"size({words()})").cast("long").alias("n_tokens"), F.col("_epoch").alias("epoch"), F.col("_block").alias("block")
+        "doc_id", "source", F.expr(f"size({words()})").cast("long").alias("n_tokens"), F.col("__mix_epoch").alias("epoch"), F.col("__mix_block").alias("block")
     )
