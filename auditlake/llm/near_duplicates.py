@@ -4,12 +4,14 @@ Documents with equal shingle sets are one node from here on. Each of `trees` ind
 nodes by their minwise token; a pair at the threshold shares a first branch of some tree with probability
 1 - (1 - threshold) ** trees. In each branch the member of the smallest id is compared with every other on the
 full sets. By the triangle inequality of the Jaccard distance, members linked with it only need comparing
-further if an unlinked member lies close enough; what is left branches again by `branches` more minwise tokens,
-small branches are compared exhaustively, and past `depth` levels a branch keeps peeling off its smallest id
-until it is small. So no branch is ever expanded into all its pairs, gathered in a task, capped or sampled.
+further if an unlinked member lies close enough; what is left branches again by `branches` more minwise tokens
+(a pair survives a level with probability 1 - (1 - threshold) ** branches in each tree, while pairs under
+1 / branches thin out), small branches are compared exhaustively, and past `depth` levels a branch keeps
+peeling off its smallest ids until it is small. So no large branch is ever expanded into all its pairs, gathered in
+a task, capped or sampled.
 
 Before sets are fetched, the signatures of `width` minwise tokens must agree on a share of `least_agreement`: a
-pair at the threshold fails that with probability under 1e-7.
+pair at the threshold fails that with probability under 1e-5.
 
 Defined cases: a null, empty or wordless text has an empty set, linked with nothing; fewer than k words are one
 shingle; repeated rows and equal texts share a component; rows of one doc_id with different texts join their
@@ -25,11 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import only, sketched, without, written
+from .common import discard, only, sketched, without, written
 from .components import connected
 from .shingles import shingle_set
 
@@ -39,11 +41,12 @@ class Join:
     k: int = 5
     percent: int = 75  # Jaccard threshold
     trees: int = 14
-    branches: int = 3
-    depth: int = 6
-    small: int = 12
-    width: int = 48
-    least_agreement: float = 0.4
+    branches: int = 2
+    depth: int = 8
+    small: int = 160
+    leaders: int = 32  # compared with all members at once, past `depth`
+    width: int = 64
+    least_agreement: float = 0.5
     filter_bits: int = 1 << 20  # of the prefilter for documents whose sets are needed; a size, not a limit
 
 
@@ -109,27 +112,28 @@ def sets_of(docs: DataFrame, wanted: DataFrame, j: Join) -> DataFrame:
     return written(joined.groupBy("id").agg(F.first("own").alias("own")), "sets")
 
 
-def compare(pairs: DataFrame, reps: DataFrame, sets: DataFrame, j: Join) -> DataFrame:
-    """(a, b) -> agreement of the signatures, and where that is enough the intersection of the full sets."""
+def agreeing(pairs: DataFrame, reps: DataFrame, j: Join) -> DataFrame:
+    """(a, b) -> set sizes, agreement of the signatures, and whether the full sets have to be compared."""
     left = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("mins").alias("ma"))
     right = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("mins").alias("mb"))
-    near = pairs.join(left, "a").join(right, "b")
-    near = near.withColumn(
-        "agreement", F.expr(f"aggregate(zip_with(ma, mb, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x) / {j.width}D")
-    ).drop("ma", "mb")
-    near = written(near, "near")
-    close = near.where(
-        f"agreement >= {j.least_agreement}D and 100 * least(na, nb) >= {j.percent} * greatest(na, nb)"
-    ).select("a", "b")
+    agreement = F.expr(f"aggregate(zip_with(ma, mb, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x) / {j.width}D")
+    near = pairs.join(left, "a").join(right, "b").withColumn("agreement", agreement).drop("ma", "mb")
+    close = f"agreement >= {j.least_agreement}D and 100 * least(na, nb) >= {j.percent} * greatest(na, nb)"
+    return near.withColumn("close", F.expr(close))
+
+
+def compared(near: DataFrame, sets: DataFrame, j: Join) -> DataFrame:
+    """(a, b) -> linked, by the full sets, and a lower bound of the distance."""
     sa = sets.select(F.col("id").alias("a"), F.col("own").alias("own_a"))
     sb = sets.select(F.col("id").alias("b"), F.col("own").alias("own_b"))
+    close = near.where("close").select("a", "b")
     shared = close.join(sa, "a").join(sb, "b").select("a", "b", F.expr("size(array_intersect(own_a, own_b))").alias("common"))
     out = near.join(shared, ["a", "b"], "left").withColumn("together", F.expr("na + nb - common"))
     return out.select(
         "a",
         "b",
         F.expr(f"coalesce(100 * common >= {j.percent} * together, false)").alias("linked"),
-        # a lower bound of the distance: exact where the sets were compared, else from sizes or signatures
+        # exact where the sets were compared, else from sizes or signatures
         F.expr(
             "case when common is not null then 1 - common / together "
             "else greatest(1 - least(na, nb) / greatest(na, nb), 0.75D - agreement) end"
@@ -143,29 +147,42 @@ def links(docs: DataFrame, reps: DataFrame, j: Join) -> DataFrame:
     limit = 1 - j.percent / 100
     tree = F.posexplode(F.slice("mins", 1, j.trees)).alias("tree", "token")
     level = reps.select("id", tree).select("id", F.xxhash64(F.lit(0), "tree", "token").alias("key"))
-    edges, sets, depth = spark.createDataFrame([], "a long, b long"), None, 0
+    edges, depth = spark.createDataFrame([], "a long, b long"), 0
+    sets = spark.createDataFrame([], "id long, own array<long>")
     while True:
         nodes = level.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("leader")).where("size > 1")
         members = written(level.join(nodes, "key"), "members")
         if members.isEmpty():
             return edges
-        if sets is None:
-            wanted = reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "print", "doc")
-            sets = sets_of(docs, wanted, j)
-        stars = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+        if depth > j.depth:
+            first = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+            heads = members.withColumn("_at", first).where(f"_at <= {j.leaders}").select("key", F.col("id").alias("leader"))
+        else:
+            heads = members.where("id = leader").select("key", "leader")
+        every = members.drop("leader").join(heads, "key").where("id > leader")
+        stars = every.select(F.col("leader").alias("a"), F.col("id").alias("b"))
         if depth:
             few = members.where(f"size <= {j.small}")
             x, y = few.select("key", F.col("id").alias("a")), few.select("key", F.col("id").alias("b"))
             stars = stars.unionByName(x.join(y, "key").where("a < b").select("a", "b"))
-        seen = written(compare(stars.distinct(), reps, sets, j), "compared")
+        near = written(agreeing(stars.distinct(), reps, j), "near")
+        # Sets are fetched for the members of close pairs only, and once.
+        either = near.where("close").select(F.col("a").alias("id")).unionByName(near.where("close").select(F.col("b").alias("id")))
+        wanted = either.distinct().join(sets.select("id"), "id", "left_anti").join(reps, "id").select("id", "print", "doc")
+        wanted = written(wanted, "wanted")
+        if not wanted.isEmpty():
+            sets = sets.unionByName(sets_of(docs, wanted, j))
+        seen = written(compared(near, sets, j), "compared")
+        discard(spark, near)
         edges = edges.unionByName(seen.where("linked").select("a", "b"))
         # Members that other members may still link with: the unlinked, and linked ones near enough to one.
-        left = members.where("id <> leader" + (f" and size > {j.small}" if depth else ""))
-        left = left.join(seen.withColumnsRenamed({"a": "leader", "b": "id"}), ["leader", "id"]).select(
-            "key", "id", "linked", "distance"
-        )
-        nearest = left.where("not linked").groupBy("key").agg(F.min("distance").alias("nearest"))
-        left = left.join(nearest, "key").where(f"not linked or distance >= nearest - {limit} - 1e-9").select("key", "id")
+        rest = f"size > {j.small}" if depth else "size > 2"
+        if depth > j.depth:
+            left = members.where(rest).join(heads.withColumnRenamed("leader", "id"), ["key", "id"], "left_anti").select("key", "id")
+        else:
+            left = every.where(rest).join(seen.withColumnsRenamed({"a": "leader", "b": "id"}), ["leader", "id"])
+            nearest = left.where("not linked").groupBy("key").agg(F.min("distance").alias("nearest"))
+            left = left.join(nearest, "key").where(f"not linked or distance >= nearest - {limit} - 1e-9").select("key", "id")
         depth += 1
         if depth <= j.depth:
             branch = F.explode(F.array(*[F.lit(i) for i in range(j.branches)])).alias("branch")
