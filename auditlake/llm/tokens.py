@@ -6,19 +6,21 @@ import gc
 import os
 import re
 from collections.abc import Iterable
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 from pyspark import SparkContext
 
-#: Chunks remembered by one memo, in two generations of half as many; at about 200 bytes each. A Python worker has
-#: four: of chunks as they stand and of the letters in them, with and without a blank before them.
-MEMO_ENTRIES = 400_000
+#: Pieces remembered by one memo, in two generations of half as many; at about 200 bytes each.
+MEMO_ENTRIES = 700_000
 _UNEVEN = re.compile(r"\s\s|^\s|\s$")
 _INNER = re.compile(r"(?<=\S) (?=\S)")
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_MARKS = ".,!?;:"
+#: Texts of these characters alone (no apostrophe, which can begin a contraction) are cut by the patterns below just as
+#: the pre-tokenizers cut them: byte-level, and word ends without white space.
+_L = "A-Za-zÀ-ÖØ-öø-ÿ"
+_OTHER = re.compile(f"[^{_L}0-9 \\n\\t!\"#$%&()*+,./:;<=>?@\\[\\\\\\]^_`{{|}}~-]")
+_PIECES = re.compile(f" ?[{_L}]+| ?[0-9]+| ?[^\\s{_L}0-9]+|\\s+(?!\\S)|\\s+").findall
+_WORDS = re.compile(f"[{_L}]+|[0-9]|[^\\s{_L}0-9]+").findall
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -49,11 +51,12 @@ class _Memo(dict):
 
 
 class Encoder:
-    """Encodes whole texts chunk by chunk.
+    """Encodes whole texts piece by piece, each remembered.
 
-    Both kinds of pre-tokenizer cut at these places whatever stands around them, so that the chunks' ids are the
-    text's ids: before a lone blank, and around a lone line feed (byte-level); at blanks and line feeds (those
-    that drop white space). Texts with other runs of white space are cut at the lone blanks only.
+    Texts of common characters are cut into the pre-tokenizer's own pieces. For others, both kinds of pre-tokenizer
+    cut at these places whatever stands around them, so that the chunks' ids are the text's ids: before a lone blank,
+    and around a lone line feed (byte-level); at blanks and line feeds (those that drop white space). Such texts with
+    other runs of white space are cut at the lone blanks only.
     """
 
     def __init__(self, spec: str):
@@ -70,29 +73,22 @@ class Encoder:
         bare = lambda s: tuple([ints[t.id] for t in model.tokenize(s)])
         self.drops_space = not one(" ") and not one("\n")
         self.line_feed = one("\n")
-        marks, lowers = lru_cache(4096)(one), one("ABC XYZ") == one("abc xyz")
-
-        def memo(before: str) -> _Memo:
-            """Letters of one word go to the tokenizer's model itself, if that gives the same ids; marks after them are apart in both kinds."""
-            probe = ["word", "Éclairs", "überaus", "xyzzy", "A", "straße", "THEM", "niño", "qwrtpsdfghjkl"]
-            small = (lambda s: s.lower()) if lowers else (lambda s: s)
-            first = as_bytes(before)
-            direct = lambda s: bare(first + (s if s.isascii() else as_bytes(s)))
-            same = all(direct(small(w)) == one(before + w) for w in probe)
-            letters = _Memo(direct if same else (lambda s: one(before + s)))
-
-            def made(chunk: str) -> tuple[int, ...]:
-                core = chunk.rstrip(_MARKS)
-                if _LETTERS.fullmatch(core):
-                    found = letters[small(core)]
-                    return found if core == chunk else found + marks(chunk[len(core) :])
-                return one(before + chunk)
-
-            return _Memo(made)
-
-        self.bare, self.spaced = memo(""), memo(" ")
+        self.lowers = one("ABC XYZ") == one("abc xyz")
+        direct = lambda s: bare(s if s.isascii() and s.isprintable() and " " not in s else as_bytes(s))
+        # Pieces go to the tokenizer's model itself, if it gives the ids of the whole tokenizer on a probe.
+        self.pieces = _Memo(direct)
+        probe = "Éclairs überaus, xyzzy A straße. THEM niño (12) #x** ||\n\nnew line ~ qwrtpsdfghjkl!!"
+        self.direct = tuple(chain.from_iterable(map(self.pieces.__getitem__, self.cut(probe)))) == one(probe)
+        self.bare, self.spaced = _Memo(one), _Memo(lambda s: one(f" {s}"))
+
+    def cut(self, text: str) -> list[str]:
+        if not self.drops_space:
+            return _PIECES(text)
+        return _WORDS(text.lower() if self.lowers else text)
 
     def parts(self, text: str) -> Iterable[tuple[int, ...]]:
+        if self.direct and not _OTHER.search(text):
+            return map(self.pieces.__getitem__, self.cut(text))
         if self.drops_space:
             return map(self.bare.__getitem__, text.replace("\n", " ").split(" "))
         if _UNEVEN.search(text):
