@@ -13,3 +13,8 @@ def test_edited_lines_are_near_duplicates(spark):
     short = "one two three four five six seven".split()
     texts = [" ".join(x) for x in (line, [*line[:9], "new", *line[10:]], short, [*short, "eight"], ["a", "b", "c", "d"], ["a", "b", "x", "y"])]
     assert _line_pairs(spark, texts) == {(1, 0), (3, 2)}
+
+
+def test_short_lines_recur(spark):
+    texts = ["Of.", "yes yes yes", "Of.", "so be", "be so be", "yes", "", "", " ", "so"]
+    assert _line_pairs(spark, texts) == {(2, 0), (4, 3), (5, 1)}
