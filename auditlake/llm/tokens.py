@@ -56,7 +56,8 @@ class Encoder:
     Texts of common characters are cut into the pre-tokenizer's own pieces. For others, both kinds of pre-tokenizer
     cut at these places whatever stands around them, so that the chunks' ids are the text's ids: before a lone blank,
     and around a lone line feed (byte-level); at blanks and line feeds (those that drop white space). Such texts with
-    other runs of white space are cut at the lone blanks only.
+    other runs of white space are cut at the lone blanks only. Texts that hold an added token, which the library finds
+    before anything else, go to it whole.
     """
 
     def __init__(self, spec: str):
@@ -64,7 +65,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added), re.IGNORECASE) if added else None
         self.size = self.tokenizer.get_vocab_size()
         ints = list(range(self.size))
         model = self.tokenizer.model
@@ -87,6 +89,8 @@ class Encoder:
         return _WORDS(text.lower() if self.lowers else text)
 
     def parts(self, text: str) -> Iterable[tuple[int, ...]]:
+        if self.added and self.added.search(text):
+            return [tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)]
         if self.direct and not _OTHER.search(text):
             return map(self.pieces.__getitem__, self.cut(text))
         if self.drops_space:

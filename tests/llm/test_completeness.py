@@ -1,6 +1,10 @@
 """Inputs on which an operator once did less than its whole job."""
 
+import pytest
+from tokenizers import Tokenizer
+
 from auditlake.llm import line_dedup
+from auditlake.llm.tokens import Encoder, public_path
 
 
 def _line_pairs(spark, texts):
@@ -18,3 +22,14 @@ def test_edited_lines_are_near_duplicates(spark):
 def test_short_lines_recur(spark):
     texts = ["Of.", "yes yes yes", "Of.", "so be", "be so be", "yes", "", "", " ", "so"]
     assert _line_pairs(spark, texts) == {(2, 0), (4, 3), (5, 1)}
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_added_tokens_keep_their_ids(name):
+    with open(public_path(name), encoding="utf-8") as f:
+        code = Encoder(f.read())
+    library = Tokenizer.from_file(public_path(name))
+    texts = [f"a{gap}{token}{gap}Éx, y" for token in ("<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext") for gap in ("", " ", "\n", "  ", "日本 ")]
+    for text in [*texts, "it's  a text", "<|endoftext|>" * 3, "ab\n\nc <| d |>"]:
+        assert code.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(code.ids("<|endoftext|>")) == 1
