@@ -3,9 +3,11 @@
 import pytest
 from tokenizers import Tokenizer
 
-from auditlake.llm import line_dedup
+from auditlake.llm import line_dedup, passages
 from auditlake.llm.tokens import Encoder, public_path
 
+from .conftest import prose
+
 
 def _line_pairs(spark, texts):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -33,3 +35,16 @@ def test_added_tokens_keep_their_ids(name):
     for text in [*texts, "it's  a text", "<|endoftext|>" * 3, "ab\n\nc <| d |>"]:
         assert code.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
     assert len(code.ids("<|endoftext|>")) == 1
+
+
+@pytest.mark.parametrize("n", [20, 30, 40])
+def test_passages_of_lines_seen_earlier(spark, n):
+    """Three lines in a row that two documents share; each line alone is in an earlier document too."""
+    rows, spans = [], {}
+    for i in range(60):
+        lines = [prose(10_000 * n + 10 * i + k, n) for k in range(3)]
+        rows += [(3 * i + k, f"{prose(5_000_000 + 3 * i + k, 15)} {line} {prose(6_000_000 + 3 * i + k, 15)}") for k, line in enumerate(lines)]
+        rows += [(a + i, f"{prose(b + i, 40)} {' '.join(lines)} {prose(b + 500 + i, 40)}") for a, b in ((1000, 7_000_000), (2000, 8_000_000))]
+    for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        spans.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    assert [i for i in range(60) if not set(range(40, 40 + 3 * n)) <= spans.get(2000 + i, set())] == []
