@@ -41,8 +41,8 @@ class Join:
     k: int = 5
     percent: int = 75  # Jaccard threshold
     trees: int = 14
-    branches: int = 2
-    depth: int = 8
+    branches: int = 3
+    depth: int = 6
     small: int = 160
     leaders: int = 32  # compared with all members at once, past `depth`
     width: int = 64

@@ -1,9 +1,11 @@
 """Inputs on which an operator once did less than its whole job."""
 
+from math import comb
+
 import pytest
 from tokenizers import Tokenizer
 
-from auditlake.llm import line_dedup, passages
+from auditlake.llm import line_dedup, near_duplicates, passages
 from auditlake.llm.tokens import Encoder, public_path
 
 from .conftest import prose
@@ -48,3 +50,17 @@ def test_passages_of_lines_seen_earlier(spark, n):
     for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         spans.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
     assert [i for i in range(60) if not set(range(40, 40 + 3 * n)) <= spans.get(2000 + i, set())] == []
+
+
+def test_recall_at_full_depth():
+    """Pairs at the threshold that all trees miss, in branches that stay large through all levels."""
+    j = near_duplicates.Join()
+    t, missed = j.percent / 100, 0.0
+    chance = lambda n, k: comb(n, k) * t**k * (1 - t) ** (n - k)
+    for first in range(j.trees + 1):  # trees whose first token the pair shares, and the other tokens that it shares
+        for more in range(j.width - j.trees + 1):
+            share, lost = (first + more) / j.width, 0.0
+            for _ in range(j.depth):
+                lost = (1 - share + share * lost) ** j.branches
+            missed += chance(j.trees, first) * chance(j.width - j.trees, more) * lost**first
+    assert missed < 1e-6
