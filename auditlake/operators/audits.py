@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color as C
 from ..functions import url as U
+from .graph import cut
 
 
 @dataclass(frozen=True)
@@ -199,8 +200,18 @@ def image_duplicates(hashes: DataFrame, most: int = 6) -> DataFrame:
     own = hashes.select("name", "ahash", band).select("name", "ahash", "b.*")
     other = own.select(F.col("name").alias("leader"), F.col("ahash").alias("h"), "k", "v")
     near = own.join(other, ["k", "v"]).where(f"leader < name and bit_count(ahash ^ h) <= {most}").select("name", "leader").distinct()
-    # Greedy: an image follows its first earlier match that follows none. Rounds settle images whose earlier matches are settled.
-    leaders = hashes.select("name").join(near.select("name").distinct(), "name", "left_anti")
+    # Greedy: an image follows its first earlier match that follows none. Each round settles the followers of new leaders,
+    # and as leaders the images whose earlier matches all follow; the first unsettled image is always among them.
+    near = cut(near)
+    pairs, unsettled = near, near.select("name").distinct()
+    new = leaders = hashes.select("name").join(unsettled, "name", "left_anti").distinct()
+    while not unsettled.isEmpty():
+        gone = cut(pairs.join(new.withColumnRenamed("name", "leader"), "leader", "left_semi").select("name").distinct())
+        pairs = cut(pairs.join(gone, "name", "left_anti").join(gone.withColumnRenamed("name", "leader"), "leader", "left_anti"))
+        unsettled = unsettled.join(gone, "name", "left_anti")
+        new = cut(unsettled.join(pairs, "name", "left_anti"))
+        unsettled = cut(unsettled.join(new, "name", "left_anti"))
+        leaders = leaders.unionByName(new)
     return near.join(leaders.withColumnRenamed("name", "leader"), "leader", "left_semi").groupBy("name").agg(F.min("leader").alias("leader"))
 
 
