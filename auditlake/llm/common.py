@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         found = context._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="auditlake-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -36,6 +39,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: For each scratch() that is open, the tables written so far.
+_scratch: list[list[DataFrame]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: df written as a Parquet table in the shared folder, and read again.
 
@@ -46,6 +53,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._auditlake_path = path
+    if _scratch:
+        _scratch[-1].append(back)
     return back
 
 
@@ -58,44 +67,58 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def sketched(wanted: DataFrame, *key: str, bits: int = 1 << 20):
-    """A test of key columns that holds for every key of `wanted` and, as long as they fill few of the bits, for few others.
-
-    The sketch is a bitmap of fixed size, however many keys there are; an exact join has to follow.
-    """
-    place = F.expr(f"cast(pmod(xxhash64({', '.join(key)}), {bits}) as int)")
-    mask = np.zeros(bits, bool)
-    mask[[r[0] for r in wanted.select(place.alias("b")).distinct().toLocalIterator()]] = True
-    shared = wanted.sparkSession.sparkContext.broadcast(np.packbits(mask))
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing holds any more, which it does when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
-    def held(places: pd.Series) -> pd.Series:
-        return pd.Series(np.unpackbits(shared.value).astype(bool)[places.to_numpy()])
 
-    test = F.pandas_udf(held, "boolean")
-    return lambda *columns: test((F.pmod(F.xxhash64(*columns), F.lit(bits))).cast("int"))
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes the tables written inside at the end, but for those taken off the list."""
+    _scratch.append([])
+    try:
+        yield _scratch[-1]
+    finally:
+        discard(spark, *_scratch.pop())
+        released(spark)
 
 
-def bucket_values(found: DataFrame, n: int) -> F.Column:
-    """The summed values v of (b, v) as an array over b = 0..n-1, as a scalar subquery; n is fixed, whatever the input."""
+def bucket_values(found: DataFrame, n: int, kind: str = "bigint") -> F.Column:
+    """The summed values v of (b, v) as an array over b = 0..n-1, as a scalar subquery; n is fixed or bounded, whatever the input."""
     every = found.sparkSession.range(n).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("v"))
-    total = found.select("b", "v").unionByName(every).groupBy("b").agg(F.sum("v").alias("v"))
+    total = found.select("b", "v").unionByName(every).groupBy("b").agg(F.sum("v").cast(kind).alias("v"))
     return total.agg(F.array_sort(F.collect_list(F.struct("b", "v"))).alias("p")).select(F.expr("p.v")).scalar()
 
 
-def marked(ids: DataFrame, n: int = 1 << 18) -> F.Column:
-    """A test of doc_id in DataFrame expressions: holds for every doc_id of `ids` and, as long as they fill few of the n buckets, for few others."""
-    bucket = F.expr(f"cast(pmod(xxhash64(doc_id), {n}) as int)")
-    found = ids.select(bucket.alias("b")).distinct().withColumn("v", F.lit(1).cast("long"))
-    return F.get(bucket_values(found, n), bucket) > 0
+def marked(ids: DataFrame, key: str = "doc_id", least: int = 1 << 16, most: int = 1 << 26) -> F.Column:
+    """A test of a whole-number column `key` in DataFrame expressions: holds for every key of `ids` and for few others.
+
+    The keys set bits of a bitmap, about 16 bits for each key of `ids` (which should be a written table, since it is
+    counted first), between `least` and `most`. The bitmap is one value of at most 8 MB; beyond some 20 million keys it
+    lets through more of the others, so that an exact join has to follow. Keys of any integer type hash alike.
+    """
+    bits = least
+    wanted = 16 * ids.count()
+    while bits < min(wanted, most):
+        bits *= 2
+    slot = f"pmod(xxhash64(try_cast({key} as bigint)), {bits}L)"
+    word, bit = f"cast(shiftright({slot}, 6) as int)", f"shiftleft(1L, cast({slot} & 63 as int))"
+    found = ids.groupBy(F.expr(word).alias("b")).agg(F.expr(f"bit_or({bit})").alias("v"))
+    return F.get(bucket_values(found, bits // 64), F.expr(word)).bitwiseAND(F.expr(bit)) != 0
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for the rows whose doc_id is in gone (doc_id). Only rows that may be in it are shuffled, not all texts."""
-    gone = written(gone.select("doc_id").distinct(), "gone")
+    """docs but for the rows whose doc_id is in gone (doc_id). Only rows that may be in it are shuffled, not all texts.
+
+    doc_id may be of any integer type; rows without doc_id stay, and so do ids that aren't whole numbers.
+    """
+    gone = written(gone.select(F.col("doc_id").try_cast("long").alias("doc_id")).where("doc_id is not null").distinct(), "gone")
     test = marked(gone)
+    test = F.coalesce(test, F.lit(False))
     maybe = docs.where(test)
     of = gone.select(F.col("doc_id").alias("_gone"))
-    return docs.where(~test).unionByName(maybe.join(of, maybe["doc_id"].eqNullSafe(of["_gone"]), "left_anti"))
+    return docs.where(~test).unionByName(maybe.join(of, maybe["doc_id"].try_cast("long") == of["_gone"], "left_anti"))
 
 
 def words(text: str = "text") -> str:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import only, sketched, written
+from .common import marked, only, written
 from .tokens import encoder, shipped
 
 PIECE = "part int, key long, doc_id long, start long, length int, doc_tokens long, local_rank long, crc long, ids binary"
@@ -219,8 +219,7 @@ def digests(packed: Packed) -> DataFrame:
     placed = written(packed.placed, "placed")
     cut = placed.where("crc is null").select(F.col("part").alias("_part"), F.col("key").alias("_key"), *placed.columns)
     # Few pieces are cut: only theirs, and those that a sketch takes for theirs, bring their ids along.
-    may_be = sketched(cut.select("_part", "_key"), "_part", "_key")
-    own = packed.pieces.select("part", "key", "ids", F.col("length").alias("whole")).where(may_be("part", "key"))
+    own = packed.pieces.select("part", "key", "ids", F.col("length").alias("whole")).where(marked(cut, "xxhash64(part, key)"))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

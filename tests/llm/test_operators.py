@@ -254,7 +254,7 @@ def test_large_branches_of_near_copies(spark):
     rows += [(100 + i, f"{shared} {prose(200 + i, 30)}") for i in range(60)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     roots, _ = brute_components(rows)
-    small = near_duplicates.Join(small=4, depth=2, leaders=8)
+    small = near_duplicates.Join(small=4, depth=2, block_rows=16)
     assert {r["doc_id"]: r["component_id"] for r in near_duplicates.classes(frame, small).collect()} == roots
 
 
