@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,24 +38,20 @@ def write_ids(
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 piece = batch.slice(low, 512)
-                found = [code.ids(t, end_id) for t in piece.column(1).to_pylist()]
-                sizes = [len(x) for x in found]
-                starts = []
-                for n in sizes:
-                    starts.append(start)
-                    start += n
-                ends = pa.array([0, *_running(sizes)], pa.int32())
-                flat = pa.array(_joined(found).astype("int32"))
+                found = [code.stored(t, end_id) for t in piece.column(1).to_pylist()]
+                sizes = np.array([len(x) // 4 for x in found], np.int64)
+                ends = np.r_[0, np.cumsum(sizes)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column(0).cast(pa.int64()),
-                        pa.array([part] * len(sizes), pa.int32()),
-                        pa.array(starts, pa.int64()),
+                        pa.array(np.full(len(sizes), part), pa.int32()),
+                        pa.array(start + ends[:-1], pa.int64()),
                         pa.array(sizes, pa.int64()),
-                        pa.ListArray.from_arrays(ends, flat),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4"))),
                     ],
                     names=["doc_id", "part", "local_start", "n_tokens", "ids"],
                 )
+                start += int(ends[-1])
 
     count = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = only(docs, "doc_id", "text").repartitionByRange(count, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -70,20 +67,6 @@ def write_ids(
     )
 
 
-def _running(sizes: list[int]) -> list[int]:
-    out, total = [], 0
-    for n in sizes:
-        total += n
-        out.append(total)
-    return out
-
-
-def _joined(found):
-    import numpy as np
-
-    return np.concatenate(found) if found else np.empty(0, "<u4")
-
-
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids. Filters on doc_id prune files, stripes and row groups."""
     stored = spark.read.schema(STORED).orc(path)
@@ -104,7 +87,7 @@ def digests(found: DataFrame) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("ids")
-            flat, ends = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False).astype("<i4", copy=False), lists.offsets.to_numpy()
             ends = ends - ends[0]
             cuts = list(zip(ends[:-1], ends[1:], strict=True))
             yield pa.RecordBatch.from_arrays(
@@ -112,7 +95,7 @@ def digests(found: DataFrame) -> DataFrame:
                     batch.column("doc_id"),
                     batch.column("start"),
                     pa.array([int(b - a) for a, b in cuts], pa.int64()),
-                    pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in cuts], pa.int64()),
+                    pa.array([zlib.crc32(flat[a:b]) for a, b in cuts], pa.int64()),
                 ],
                 names=["doc_id", "start", "n_tokens", "ids_crc32"],
             )

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
 from pyspark import SparkContext
 
-#: Pieces remembered by one memo, in two generations of half as many; at about 200 bytes each.
+#: Pieces remembered by one memo, in two generations of half as many; at about 150 bytes each.
 MEMO_ENTRIES = 700_000
 _UNEVEN = re.compile(r"\s\s|^\s|\s$")
 _INNER = re.compile(r"(?<=\S) (?=\S)")
@@ -39,7 +40,7 @@ class _Memo(dict):
         super().__init__()
         self.make, self.old = make, {}
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
+    def __missing__(self, chunk: str) -> bytes:
         found = self.old.get(chunk)
         if found is None:
             found = self.make(chunk)
@@ -51,7 +52,7 @@ class _Memo(dict):
 
 
 class Encoder:
-    """Encodes whole texts piece by piece, each remembered.
+    """Encodes whole texts piece by piece, each remembered as its ids' bytes: little-endian unsigned 32-bit integers.
 
     Texts of common characters are cut into the pre-tokenizer's own pieces. For others, both kinds of pre-tokenizer
     cut at these places whatever stands around them, so that the chunks' ids are the text's ids: before a lone blank,
@@ -68,11 +69,10 @@ class Encoder:
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added), re.IGNORECASE) if added else None
         self.size = self.tokenizer.get_vocab_size()
-        ints = list(range(self.size))
         model = self.tokenizer.model
-        one = lambda s: tuple(ints[i] for i in self.tokenizer.encode(s, add_special_tokens=False).ids)
+        one = lambda s: _stored(self.tokenizer.encode(s, add_special_tokens=False).ids)
         as_bytes = lambda s: s.encode().decode("latin-1").translate(_BYTES)
-        bare = lambda s: tuple([ints[t.id] for t in model.tokenize(s)])
+        bare = lambda s: _stored([t.id for t in model.tokenize(s)])
         self.drops_space = not one(" ") and not one("\n")
         self.line_feed = one("\n")
         self.lowers = one("ABC XYZ") == one("abc xyz")
@@ -80,7 +80,7 @@ class Encoder:
         # Pieces go to the tokenizer's model itself, if it gives the ids of the whole tokenizer on a probe.
         self.pieces = _Memo(direct)
         probe = "Éclairs überaus, xyzzy A straße. THEM niño (12) #x** ||\n\nnew line ~ qwrtpsdfghjkl!!"
-        self.direct = tuple(chain.from_iterable(map(self.pieces.__getitem__, self.cut(probe)))) == one(probe)
+        self.direct = b"".join(map(self.pieces.__getitem__, self.cut(probe))) == one(probe)
         self.bare, self.spaced = _Memo(one), _Memo(lambda s: one(f" {s}"))
 
     def cut(self, text: str) -> list[str]:
@@ -88,9 +88,9 @@ class Encoder:
             return _PIECES(text)
         return _WORDS(text.lower() if self.lowers else text)
 
-    def parts(self, text: str) -> Iterable[tuple[int, ...]]:
+    def parts(self, text: str) -> Iterable[bytes]:
         if self.added and self.added.search(text):
-            return [tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)]
+            return [_stored(self.tokenizer.encode(text, add_special_tokens=False).ids)]
         if self.direct and not _OTHER.search(text):
             return map(self.pieces.__getitem__, self.cut(text))
         if self.drops_space:
@@ -107,11 +107,19 @@ class Encoder:
             out.extend(map(self.spaced.__getitem__, rest))
         return out
 
+    def stored(self, text: str | None, end_id: int | None = None) -> bytes:
+        end = b"" if end_id is None else _stored([end_id])
+        return b"".join(self.parts(text)) + end if text else end
+
     def ids(self, text: str | None, end_id: int | None = None) -> np.ndarray:
-        found = list(chain.from_iterable(self.parts(text))) if text else []
-        if end_id is not None:
-            found.append(end_id)
-        return np.array(found, dtype="<u4")
+        return np.frombuffer(self.stored(text, end_id), "<u4")
+
+
+def _stored(ids: list[int]) -> bytes:
+    found = array("I", ids)
+    if sys.byteorder != "little":
+        found.byteswap()
+    return found.tobytes()
 
 
 def shipped(context: SparkContext, path: str):
@@ -124,7 +132,6 @@ def encoder(spec: str) -> Encoder:
     """One encoder a Python worker and tokenizer file."""
     found = _encoders.get(spec)
     if found is None:
-        gc.set_threshold(500_000, 50, 1000)  # millions of remembered tuples, and no cycles among them
         _encoders.clear()
         found = _encoders[spec] = Encoder(spec)
     return found
