@@ -1,8 +1,15 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicate removal, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-documents. A null or empty text fails the quality rules. The mixing stage returns a row for every time a document
-is read: its repeats limit is at least 1 for every source, so that it loses no document.
+documents. The mixing stage returns a row for every time a document is read: its repeats limit is at least 1 for every
+source, so that it loses no document.
+
+Defined cases, in every stage: an empty table gives no rows; a null or empty text fails the quality rules, and as an
+input of a later stage has no lines, is a near duplicate of nothing, has a length of 0 and is packed as the end id alone;
+rows without doc_id are kept by line dedup and near-duplicate removal, and packed; ties between equal lines or texts go to
+the smallest doc_id; repeated rows of one doc_id are one document to line dedup and near-duplicate removal, which keep or
+change them all alike; columns beside those of documents are kept, whatever their names, up to the last stage; texts
+are read whole, however long.
 """
 
 from __future__ import annotations
@@ -10,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from auditlake.llm import line_dedup, mixing, near_duplicates, packing, quality_rules
-from auditlake.llm.common import table, written
+from auditlake.llm.common import discard, table, written
 from auditlake.llm.tokens import public_path
 
 
@@ -53,9 +60,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order; what a stage returns is written and read again for the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{name}")
-    return docs
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        docs = written(out, f"stage-{name}")
+        if before is not None:
+            discard(spark, before)
+        before = docs
