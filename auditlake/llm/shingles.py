@@ -22,10 +22,19 @@ def split_words(text: str | None) -> list[str]:
 
 
 class _Hashes(dict):
+    """In two generations of half as many words, so that frequent ones stay."""
+
+    old: dict[str, int] = {}
+
     def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO_ENTRIES:
+        if len(self) >= MEMO_ENTRIES // 2:
+            self.old = dict(self)
             self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word.translate(_SMALL).encode("utf-8", "surrogatepass"))
+        found = self.old.get(word)
+        if found is None:
+            small = word.lower() if word.isascii() else word.translate(_SMALL)
+            found = xxhash.xxh64_intdigest(small.encode("utf-8", "surrogatepass"))
+        self[word] = found
         return found
 
 
