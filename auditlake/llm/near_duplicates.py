@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .common import discard, marked, only, released, scratch, without, written
 from .components import connected
-from .shingles import shingle_set
+from .shingles import forget, shingle_set
 
 
 @dataclass(frozen=True)
@@ -234,6 +234,7 @@ def exhaustive(found: DataFrame, sets: DataFrame, j: Join) -> DataFrame:
     """Verified links (a, b) across the groups of suspects()."""
 
     def run(table: pa.Table) -> pa.Table:
+        forget()
         table = table.sort_by("id").combine_chunks()
         own = table.column("own")
         own = own.chunk(0) if own.num_chunks else pa.array([], own.type)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .common import marked, only, written
-from .tokens import encoder, shipped
+from .tokens import encoder, forget, shipped
 
 PIECE = "part int, key long, doc_id long, start long, length int, doc_tokens long, local_rank long, crc long, ids binary"
 PLACED = "part int, key long, doc_id long, start long, length long, doc_tokens long, crc long, sequence_id long, offset long, skip int"
@@ -207,6 +207,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, s
     )
 
     def placing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             yield from place(shared.value, batch)
 

@@ -41,6 +41,12 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def forget() -> None:
+    """Frees the words that this Python worker remembers."""
+    _hashes.clear()
+    _hashes.old = {}
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """A hash a word, A-Z read as a-z."""
     own = split_words(text)

@@ -12,6 +12,8 @@ from itertools import chain
 import numpy as np
 from pyspark import SparkContext
 
+from . import shingles
+
 #: Pieces remembered by one memo, in two generations of half as many; at about 150 bytes each.
 MEMO_ENTRIES = 700_000
 _UNEVEN = re.compile(r"\s\s|^\s|\s$")
@@ -128,8 +130,14 @@ def shipped(context: SparkContext, path: str):
         return context.broadcast(f.read())
 
 
+def forget() -> None:
+    """Frees what this Python worker remembers: it lives on, idle, beside stages that need the executor's memory."""
+    _encoders.clear()
+
+
 def encoder(spec: str) -> Encoder:
     """One encoder a Python worker and tokenizer file."""
+    shingles.forget()
     found = _encoders.get(spec)
     if found is None:
         _encoders.clear()
