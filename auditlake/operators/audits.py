@@ -1,4 +1,4 @@
-"""Site audits over render tables, link checks and scored pages. Each gives one row per site, or the groups behind it.
+"""Site audits over render tables, link checks and scored pages. Each gives one row per site (U.site() of the url), or the groups behind it.
 
 An audit that can't measure anything has a null score: what isn't measurable leaves numerator and denominator.
 """
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color as C
 from ..functions import url as U
+from . import silos
 from .graph import cut
 
 
@@ -35,15 +36,19 @@ def audit(name: str, order: int):
 
 
 def run_all(tables: dict[str, DataFrame], spark) -> DataFrame:
-    """name, score, error of every audit in order; one that fails gives its error, not an end."""
-    rows = []
+    """site, name, score, error of every audit in order; one that fails gives its error, without a site, not an end."""
+    out = None
     for a in sorted(REGISTRY.values(), key=lambda a: (a.order, a.name)):
         try:
-            first = a.run(tables).first()
-            rows.append((a.name, None if first is None else first["score"], None))
+            rows = cut(a.run(tables).select("site", F.lit(a.name).alias("name"), F.col("score").cast("double").alias("score"), F.lit(None).cast("string").alias("error")))
         except Exception as e:  # an audit's failure is its result
-            rows.append((a.name, None, f"{type(e).__name__}: {str(e)[:200]}"))
-    return spark.createDataFrame(rows, "name string, score double, error string")
+            rows = spark.createDataFrame([(None, a.name, None, f"{type(e).__name__}: {str(e)[:200]}")], "site string, name string, score double, error string")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def by_site(df: DataFrame, url: str = "url") -> DataFrame:
+    return df if "site" in df.columns else df.withColumn("site", U.site(F.col(url)))
 
 
 def weighted(*parts: tuple[Column, float]) -> Column:
@@ -56,24 +61,32 @@ def weighted(*parts: tuple[Column, float]) -> Column:
 @audit("render_coverage", 10)
 def render_coverage(t: dict[str, DataFrame]) -> DataFrame:
     pages, shown = t["pages"].select("url").distinct(), t["render_texts"].select("url").distinct()
-    own = pages.join(shown.withColumn("seen", F.lit(1)), "url", "left")
-    return own.agg(F.count("*").alias("pages"), F.count("seen").alias("rendered"), F.round(100 * F.count("seen") / F.count("*"), 1).alias("score"))
+    own = by_site(pages.join(shown.withColumn("seen", F.lit(1)), "url", "left"))
+    return own.groupBy("site").agg(F.count("*").alias("pages"), F.count("seen").alias("rendered"), F.round(100 * F.count("seen") / F.count("*"), 1).alias("score"))
 
 
 @audit("health", 15)
 def health(t: dict[str, DataFrame]) -> DataFrame:
-    """100 less penalties for broken and redirected sitemap urls, canonical mismatches, unminified own assets, invalid schemas and H1 and word-count gaps."""
-    checks, pages = t["url_checks"], t["pages"]
-    site = t["sitemap"].join(checks.select("url", "status"), "url", "left")
-    one = site.agg(F.sum((F.col("status") >= 400).cast("int")).alias("broken"), F.sum(F.col("status").between(300, 399).cast("int")).alias("redirects"))
+    """100 less penalties for broken and redirected sitemap urls, canonical mismatches, unminified own assets, invalid schemas and H1 and word-count gaps.
+
+    assets belong to the site of the page that holds them; schemas are the rows of records.validated().
+    """
+    checks, pages, sitemap = t["url_checks"], by_site(t["pages"]), by_site(t["sitemap"])
+    probed = sitemap.join(checks.select("url", "status"), "url", "left")
+    one = probed.groupBy("site").agg(F.sum((F.col("status") >= 400).cast("int")).alias("broken"), F.sum(F.col("status").between(300, 399).cast("int")).alias("redirects"))
     key = U.health_key(F.col("url")).alias("k")
-    wrong = t["sitemap"].select(key).join(pages.select(key, "canonical"), "k").where((F.coalesce("canonical", F.lit("")) != "") & (U.health_key(F.col("canonical")) != F.col("k")))
-    two = wrong.agg(F.count("*").alias("mismatches"))
+    wrong = sitemap.select("site", key).join(pages.select(key, "canonical"), "k").where((F.coalesce("canonical", F.lit("")) != "") & (U.health_key(F.col("canonical")) != F.col("k")))
+    two = wrong.groupBy("site").agg(F.count("*").alias("mismatches"))
     percent = lambda test: 100 * F.sum(test.cast("int")) / F.greatest(F.lit(1), F.count("*"))
-    three = pages.agg(percent(F.col("h1_count") == 0).alias("no_h1"), percent(F.col("h1_count") > 1).alias("multi_h1"), percent(F.col("word_count") < 300).alias("thin"))
-    four = t["assets"].agg(F.sum((~minified(F.col("text"), F.col("url")) & F.col("first_party")).cast("int")).alias("unminified"))
-    five = t["invalid_types"].agg(F.least(F.lit(20), F.sum("pages")).alias("schemas"))
-    own = one.crossJoin(two).crossJoin(three).crossJoin(four).crossJoin(five).na.fill(0)  # one row each
+    three = pages.groupBy("site").agg(percent(F.col("h1_count") == 0).alias("no_h1"), percent(F.col("h1_count") > 1).alias("multi_h1"), percent(F.col("word_count") < 300).alias("thin"))
+    assets = by_site(t["assets"], "page" if "page" in t["assets"].columns else "url")
+    four = assets.groupBy("site").agg(F.sum((~minified(F.col("text"), F.col("url")) & F.col("first_party")).cast("int")).alias("unminified"))
+    bad = by_site(t["schemas"].where("status = 'invalid'")).select("site", "type", "url").distinct()
+    five = bad.groupBy("site").agg(F.least(F.lit(20), F.count("*")).alias("schemas"))
+    own = three
+    for part in (one, two, four, five):
+        own = own.join(part, "site", "left")
+    own = own.na.fill(0)
     penalty = F.col("broken") * 4 + F.col("redirects") * 2 + F.col("mismatches") * 2 + F.col("unminified") * 3 + F.col("schemas") + F.col("no_h1") * 0.3 + F.col("multi_h1") * 0.15 + F.col("thin") * 0.2
     return own.withColumn("score", F.greatest(F.lit(0.0), F.round(100 - penalty).cast("double")))
 
@@ -123,13 +136,25 @@ def photo_groups(texts: DataFrame) -> DataFrame:
     return by.withColumn("passes", F.col("median") >= F.col("norm"))
 
 
+def photo_verdicts(texts: DataFrame) -> DataFrame:
+    """Every text over a photo with its group's verdict."""
+    own = texts.where("bgImage").withColumn("pattern", pattern(F.col("selector")))
+    return own.join(photo_groups(texts).select("pattern", "median", "passes"), "pattern", "left")
+
+
+def contrast_issues(texts: DataFrame, fails: DataFrame, most: int = 60) -> DataFrame:
+    """The `most` contrast groups by the score of the page that shows them (fails: url, score), then by pages and elements."""
+    rows = contrast_groups(texts).join(fails.select("url", F.col("score").alias("page_score")), "url", "left")
+    return rows.orderBy(F.asc_nulls_last("page_score"), F.desc("pages"), F.desc("elements"), "fg", "bg_hex", "pattern").limit(most)
+
+
 @audit("contrast", 70)
 def contrast(t: dict[str, DataFrame]) -> DataFrame:
     """0.6 x mobile + 0.4 x desktop percentage of texts that reach their norm."""
-    own = text_contrast(t["render_texts"]).where("ratio is not null")
+    own = by_site(text_contrast(t["render_texts"]).where("ratio is not null"))
     share = lambda v: 100 * F.avg(F.when(F.col("viewport") == v, (F.col("ratio") >= F.col("norm")).cast("int")))
-    both = own.agg(share("mobile").alias("mobile"), share("desktop").alias("desktop"))
-    return both.select(F.round(weighted((F.col("mobile"), 0.6), (F.col("desktop"), 0.4)), 1).alias("score"), "mobile", "desktop")
+    both = own.groupBy("site").agg(share("mobile").alias("mobile"), share("desktop").alias("desktop"))
+    return both.select("site", F.round(weighted((F.col("mobile"), 0.6), (F.col("desktop"), 0.4)), 1).alias("score"), "mobile", "desktop")
 
 
 def small_fonts(texts: DataFrame) -> DataFrame:
@@ -169,14 +194,14 @@ def image_kind(images: DataFrame) -> DataFrame:
 @audit("images", 30)
 def images(t: dict[str, DataFrame]) -> DataFrame:
     """Fill, white on dark, resolution, format and weight, alt and duplicates, over product photos."""
-    own = image_kind(t["render_images"]).where("kind = 'product'")
+    own = by_site(image_kind(t["render_images"]).where("kind = 'product'"))
     own = own.select("*", *[F.lit(None).cast(k).alias(c) for c, k in (("fill_pct", "double"), ("file_kb", "double"), ("white_on_dark", "boolean"), ("duplicate", "boolean")) if c not in own.columns])
     scale = F.col("naturalWidth") / F.nullif("displayW", F.lit(0))
     heavy = F.col("file_kb") > F.when(F.col("displayW") >= 200, 300).otherwise(150)
     share = lambda c: F.avg(c.cast("double"))
     png = F.lower("src").rlike(r"\.png(\?|#|$)")
     alt = F.length(F.trim(F.coalesce("alt", F.lit("")))) < 5
-    by = own.agg(
+    by = own.groupBy("site").agg(
         F.count("*").alias("photos"),
         (100 * F.avg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("fill_pct") - 45) / 35)))).alias("fill"),
         (100 * (1 - share(F.col("white_on_dark")))).alias("background"),
@@ -229,11 +254,34 @@ def icon_families(icons: DataFrame) -> DataFrame:
     tokens = F.split(F.lower(F.coalesce("classes", F.lit(""))), " ")
     named = F.coalesce(*[F.when(F.exists(tokens, _starts(prefixes.split())), F.lit(name)) for prefixes, name in ICON_SETS])
     grid = F.concat(F.lit("grid "), F.regexp_extract("viewBox", r"^\S+\s+\S+\s+([0-9.]+)", 1))
-    own = icons.where("kind <> 'emoji'").withColumn("family", F.coalesce(named, F.when(F.col("viewBox").isNotNull(), grid), F.col("fontFamily"), F.col("kind")))
-    by = own.groupBy("family").agg(F.count("*").alias("n"), F.countDistinct("url").alias("pages"), F.max((F.col("kind") == "iconfont").cast("int")).alias("font"), F.max((F.col("kind") == "img").cast("int")).alias("image"))
-    total = by.agg(F.sum("n").alias("total"))
+    own = by_site(icons).where("kind <> 'emoji'").withColumn("family", F.coalesce(named, F.when(F.col("viewBox").isNotNull(), grid), F.col("fontFamily"), F.col("kind")))
+    by = own.groupBy("site", "family").agg(F.count("*").alias("n"), F.countDistinct("url").alias("pages"), F.max((F.col("kind") == "iconfont").cast("int")).alias("font"), F.max((F.col("kind") == "img").cast("int")).alias("image"))
+    total = by.groupBy("site").agg(F.sum("n").alias("total"))
     least = F.greatest(F.lit(2), F.round(0.05 * F.col("total")))
-    return by.crossJoin(total).withColumn("significant", (F.col("n") >= least) | (F.col("font") == 1) | ((F.col("image") == 1) & (F.col("n") >= 3))).drop("total")  # total is one row
+    return by.join(total, "site").withColumn("significant", (F.col("n") >= least) | (F.col("font") == 1) | ((F.col("image") == 1) & (F.col("n") >= 3))).drop("total")
+
+
+def icon_styles(icons: DataFrame) -> DataFrame:
+    """Per site the fills and stroke widths of drawn icons: uses and pages."""
+    own = by_site(icons).where("kind = 'svg'")
+    sort = F.explode(F.array(F.struct(F.lit("fill").alias("style"), F.lower("fill").alias("value")), F.struct(F.lit("stroke").alias("style"), F.lower("strokeWidth").alias("value")))).alias("s")
+    return own.select("site", "url", sort).select("site", "url", "s.*").where("value is not null").groupBy("site", "style", "value").agg(F.count("*").alias("uses"), F.countDistinct("url").alias("pages"))
+
+
+#: Parts of a page in which icons are compared with each other, the first that an ancestor names.
+CONTEXTS = ("nav", "header", "footer", "button", "card", "list", "table", "form")
+
+
+def icon_context(ancestors: Column) -> Column:
+    text = F.lower(F.coalesce(ancestors, F.lit("")))
+    return F.coalesce(*[F.when(text.rlike(rf"(^|[^a-z]){c}"), F.lit(c)) for c in CONTEXTS], F.lit("other"))
+
+
+def icon_sizes(icons: DataFrame) -> DataFrame:
+    """Contexts of a site whose icons (three or more) differ in height by 1.8 times and 10 pixels at least."""
+    own = by_site(icons).where("h > 0").withColumn("context", icon_context(F.col("ancestors")))
+    by = own.groupBy("site", "viewport", "context").agg(F.count("*").alias("n"), F.min("h").alias("low"), F.max("h").alias("high"))
+    return by.where("n >= 3 and high >= 1.8 * low and high - low >= 10")
 
 
 def _starts(prefixes):
@@ -244,38 +292,23 @@ def _starts(prefixes):
 def icons(t: dict[str, DataFrame]) -> DataFrame:
     """100 less penalties for emoji used as icons, for several families, and for icon fonts."""
     families = icon_families(t["render_icons"]).where("significant")
-    emoji = t["render_icons"].where("kind = 'emoji'").select("char", "selector", "shortText").distinct()
-    one = families.agg(F.count("*").alias("families"), F.coalesce(F.max("font"), F.lit(0)).alias("font"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    two = emoji.agg(F.coalesce(F.sum(F.col("shortText").cast("int")), F.lit(0)).alias("hard"), F.coalesce(F.sum((~F.col("shortText")).cast("int")), F.lit(0)).alias("soft"))
-    own = one.crossJoin(two)  # one row each
+    emoji = by_site(t["render_icons"]).where("kind = 'emoji'").select("site", "char", "selector", "shortText").distinct()
+    one = families.groupBy("site").agg(F.count("*").alias("families"), F.coalesce(F.max("font"), F.lit(0)).alias("font"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    two = emoji.groupBy("site").agg(F.coalesce(F.sum(F.col("shortText").cast("int")), F.lit(0)).alias("hard"), F.coalesce(F.sum((~F.col("shortText")).cast("int")), F.lit(0)).alias("soft"))
+    own = one.join(two, "site", "full").na.fill(0)
     lost = F.least(F.lit(48), F.col("hard") * 8) + F.least(F.lit(20), F.col("soft") * 4) + F.when(F.col("families") >= 2, F.least(F.lit(30), (F.col("families") - 1) * 12)).otherwise(0) + F.col("font") * 6
     return own.withColumn("score", F.when((F.col("n") > 0) | (F.col("hard") > 0), F.greatest(F.lit(0.0), (F.lit(100) - lost).cast("double"))))
 
 
 @audit("links", 50)
 def links(t: dict[str, DataFrame]) -> DataFrame:
-    """Anchor texts, orphans and the balance of link value, weighted .22, .10 and .15 among those that can be measured."""
-    edges = t["edges"].where("coalesce(is_boiler, false) = false and src <> dst")
-    from .links import GENERIC_CONTEXT
-
-    key = F.trim(F.regexp_replace(F.lower("anchor"), "[^a-zà-ÿ0-9 ]", ""))
-    one = edges.agg((100 * (1 - F.avg(key.isin(*GENERIC_CONTEXT).cast("double")))).alias("anchors"))
-    nodes = t["pages"].select(U.link_key(F.col("url")).alias("node")).distinct()
-    reached = t["edges"].where("src <> dst").select(F.col("dst").alias("node")).distinct().withColumn("linked", F.lit(1.0))
-    two = nodes.join(reached, "node", "left").agg((100 * F.avg(F.coalesce("linked", F.lit(0.0)))).alias("reach"))
-    own = one.crossJoin(two)  # one row each
-    if "pagerank" in t:
-        half = t["pagerank"].withColumn("top", F.percent_rank().over(Window.orderBy(F.desc("pagerank"))) <= 0.5)
-        service = F.col("node").rlike("(?i)privacy|voorwaarden|cookie|disclaimer|financiering|contact")
-        three = half.where("top").agg(F.avg(service.cast("double")).alias("share"))
-        own = own.crossJoin(three).withColumn("balance", F.when(F.col("share") > 0, F.greatest(F.lit(20.0), 70 - 40 * F.col("share"))).otherwise(100.0))
-    else:
-        own = own.withColumn("balance", F.lit(None).cast("double"))
-    return own.withColumn("score", F.round(weighted((F.col("anchors"), 0.22), (F.col("reach"), 0.10), (F.col("balance"), 0.15)), 1))
+    """The six scores of internal linking and their weighted mean, from pages, edges, sitemap and ranks; see silos."""
+    return silos.scores(t)
 
 
 #: Weights of the conversion checks.
 CONVERSION = {"cta_fold": 3.0, "one_message": 1.5, "trust": 2.0, "checkout": 3.0, "price": 3.0, "urgency": 1.0, "form_length": 0.5}
+#: Word lists of this library for the signals below, in Dutch and English.
 _CTA = r"(?i)winkelwagen|in\s?mand|bestel|(?<![a-z])koop|kopen|afreken|kassa|offerte|aanvra|proefrit|reserve|boek|toevoeg|bekijk|(?<![a-z])shop(?![a-z])|contact|abonneer|(^|[\s_-])(btn|button|cta|buy|order)($|[\s_-])"
 _TRUST = (r"(?i)review|beoordel|sterren|★|waardering|trustpilot|kiyoh", r"(?i)retour|geld[-\s]?terug|garantie|bedenktijd|omruil", r"(?i)ideal|klarna|bancontact|paypal|riverty|afterpay|veilig\s+betalen|creditcard|(?<![a-z])visa(?![a-z])")
 _URGENT = r"(?i)op\s?=\s?op|laatste\s+kans|bijna\s+uitverkocht|wees\s+er\s+snel\s+bij|mis\s+het\s+niet|nu\s+of\s+nooit|verloopt\s+(over|binnen|vandaag)|nog\s+(maar\s+)?\d+\s+(uur|stuks|exemplaren|op\s+voorraad)"
@@ -303,6 +336,53 @@ def conversion_checks(records: DataFrame) -> DataFrame:
     return records.select("url", "page_type", *[v.alias(k) for k, v in passes.items()])
 
 
+#: Heights of the first screen in pixels.
+FOLD = {"desktop": 900, "mobile": 844}
+_UNIT = r"(?i)\b\d+([.,]\d+)?\s?(km/?h|km|kg|watt|volt|ah|wh|cm|mm|nm|inch)\b"
+
+
+def fold_checks(elements: DataFrame) -> DataFrame:
+    """Rendered elements (url, viewport, tag, text, selector, fontSize, y, h) -> per page what its first screen shows.
+
+    cta_fold weighs mobile twice; a viewport without any element isn't measured. hero_messages counts big texts on desktop;
+    cta_min_44 is the share of calls to action 44 pixels high or more, over both viewports.
+    """
+    cta = F.concat_ws(" ", "text", "selector").rlike(_CTA) & F.lower("tag").isin("a", "button", "input")
+    inside = {v: (F.col("viewport") == v) & (F.col("y") >= 0) & (F.col("y") < n) for v, n in FOLD.items()}
+    any_of = lambda v, test: F.max(F.when(F.col("viewport") == v, (inside[v] & test).cast("double")))
+    big = F.lower("tag").isin("h1", "h2") | ((F.col("fontSize") >= 20) & (F.length(F.trim("text")) > 0))
+    by = elements.groupBy("url").agg(
+        any_of("desktop", cta).alias("desktop"),
+        any_of("mobile", cta).alias("mobile"),
+        F.countDistinct(F.when(inside["desktop"] & big, F.lower(F.trim("text")))).alias("hero_messages"),
+        F.avg(F.when(cta & (F.col("h") > 0), (F.col("h") >= 44).cast("double"))).alias("cta_min_44"),
+        any_of("mobile", F.col("text").rlike(PRICE)).alias("price_fold"),
+        any_of("mobile", F.col("text").rlike(_UNIT)).alias("unit_fold"),
+    )
+    fold = F.round(weighted((F.col("desktop"), 1.0), (F.col("mobile"), 2.0)), 4)
+    return by.select(
+        "url",
+        fold.alias("cta_fold"),
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - 0.25 * (F.col("hero_messages") - 3))).alias("one_message"),
+        (F.col("mobile") > 0).alias("mobile_cta_fold"),
+        "cta_min_44",
+        ((F.col("price_fold") > 0) & (F.col("unit_fold") > 0)).alias("core_buy_fold_pdp"),
+        "price_fold",
+        "hero_messages",
+    )
+
+
+def conversion_issues(checks: DataFrame, urls: int = 6) -> DataFrame:
+    """Per site and check: the pages that don't wholly pass it, the first `urls` of them and how many more there are."""
+    names = [c for c in CONVERSION if c in checks.columns]
+    rows = by_site(checks).unpivot(["site", "url"], names, "check", "pass").where("pass < 1")
+    place = F.row_number().over(Window.partitionBy("site", "check").orderBy("url"))
+    by = rows.withColumn("n", place).groupBy("site", "check").agg(
+        F.count("*").alias("pages"), F.round(F.avg("pass"), 3).alias("mean_pass"), F.array_sort(F.collect_list(F.when(F.col("n") <= urls, F.col("url")))).alias("urls")
+    )
+    return by.withColumn("more", F.greatest(F.lit(0), F.col("pages") - urls))
+
+
 @audit("conversion", 20)
 def conversion(t: dict[str, DataFrame]) -> DataFrame:
     """Weighted mean of all checks of all pages; product pages count twice."""
@@ -310,20 +390,20 @@ def conversion(t: dict[str, DataFrame]) -> DataFrame:
     twice = F.when(F.col("page_type") == "pdp", 2.0).otherwise(1.0)
     sums = [(F.sum(F.when(F.col(k).isNotNull(), twice * w * F.col(k))), F.sum(F.when(F.col(k).isNotNull(), twice * w))) for k, w in CONVERSION.items()]
     total = lambda i: sum((F.coalesce(s[i], F.lit(0.0)) for s in sums), F.lit(0.0))
-    return rows.agg(F.round(100 * total(0) / F.nullif(total(1), F.lit(0.0)), 1).alias("score"), F.count("*").alias("pages"))
+    return by_site(rows).groupBy("site").agg(F.round(100 * total(0) / F.nullif(total(1), F.lit(0.0)), 1).alias("score"), F.count("*").alias("pages"))
 
 
 #: Profile -> checks with their weights.
 PROFILES = {
-    "senior": {"body_font_18": 3, "tel_in_header": 2, "no_countdown": 2, "sentences_short": 2, "help_findable": 1, "forms_short": 1},
-    "commuter": {"spec_block_pdp": 2, "compare_feature": 1, "page_weight_ok": 1},
-    "mechanic": {"fit_signal_pdp": 3, "search_present": 2, "stock_indication": 1},
-    "generic": {"body_16": 2, "search_or_nav": 1, "contact_findable": 1},
+    "senior": {"body_font_18": 3, "tel_in_header": 2, "cta_min_44": 2, "no_countdown": 2, "sentences_short": 2, "help_findable": 1, "forms_short": 1},
+    "commuter": {"mobile_cta_fold": 3, "spec_block_pdp": 2, "core_buy_fold_pdp": 2, "compare_feature": 1, "page_weight_ok": 1, "legal_info": 1},
+    "mechanic": {"fit_signal_pdp": 3, "model_filter_plp": 2, "search_present": 2, "specs_delivery_pdp": 2, "stock_indication": 1},
+    "generic": {"body_16": 2, "mobile_cta_fold": 2, "search_or_nav": 1, "contact_findable": 1},
 }
 
 
 def audience_checks(records: DataFrame) -> DataFrame:
-    """url and true, false or null per check."""
+    """url and true, false or null per check. Checks of the first screen are those of fold_checks(), where the records have its columns."""
     text, pdp = F.col("page.text"), F.col("page_type") == "pdp"
     size = F.col("body_font") if "body_font" in records.columns else F.lit(None).cast("double")
     search = F.exists("page.forms", lambda f: f["search"])
@@ -345,15 +425,25 @@ def audience_checks(records: DataFrame) -> DataFrame:
         "search_or_nav": search | (F.col("page.nav_links") >= 3) | (F.col("n_internal_links") >= 5),
         "contact_findable": tel | F.exists("page.links", lambda x: F.lower(x["href"]).startswith("mailto:") | F.lower(x["target"]).contains("contact")),
     }
+    spec = checks["spec_block_pdp"]
+    mobility = U.site(F.col("url")).rlike(r"(^|[^a-z])(e-?bike|fiets|scooter|step|brommer|mobility|moto)") | (F.regexp_count(text, F.lit(r"(?i)e-?bike|fatbike|scooter|brommer|elektrische step")) >= 2)
+    plp = F.array_contains(U.page_tags(F.col("url"), F.lit(False)), "plp")
+    checks |= {
+        "legal_info": F.when(mobility, text.rlike(r"(?i)kenteken|rijbewijs|helmplicht|verzeker|openbare weg|rdw|typegoedkeuring")),
+        "model_filter_plp": F.when(plp, F.exists("page.classes", lambda c: c.rlike(r"(?i)filter|facet")) | text.rlike(r"(?i)filter op|kies (je|uw) (model|merk)|sorteer")),
+        "specs_delivery_pdp": F.when(pdp, spec & text.rlike(r"(?i)levertijd|leverbaar|bezorg|verzend|op voorraad|uitverkocht")),
+        **{k: F.col(k).cast(kind) if k in records.columns else F.lit(None).cast(kind) for k, kind in (("mobile_cta_fold", "boolean"), ("cta_min_44", "double"), ("core_buy_fold_pdp", "boolean"))},
+    }
+    checks["core_buy_fold_pdp"] = F.when(pdp, checks["core_buy_fold_pdp"])
     return records.select("url", *[v.alias(k) for k, v in checks.items()])
 
 
 def audience_score(records: DataFrame, profile: str = "generic") -> DataFrame:
-    """Weighted share of pages that pass; site-wide checks pass if any page does; what no page can measure is left out."""
-    own = audience_checks(records)
-    anywhere = {"compare_feature", "search_present", "contact_findable"}
+    """Per site the weighted share of pages that pass, checkout pages aside; site-wide checks pass if any page does; what no page can measure is left out."""
+    own = by_site(audience_checks(records.where("page_type is null or page_type <> 'checkout'")))
+    anywhere = {"compare_feature", "search_present", "contact_findable", "legal_info"}
     share = lambda k: F.max(F.col(k).cast("double")) if k in anywhere else F.avg(F.col(k).cast("double"))
-    by = own.agg(*[share(k).alias(k) for k in PROFILES[profile]])
+    by = own.groupBy("site").agg(*[share(k).alias(k) for k in PROFILES[profile]])
     return by.withColumn("score", F.round(100 * weighted(*[(F.col(k), float(w)) for k, w in PROFILES[profile].items()]), 1))
 
 

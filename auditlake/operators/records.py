@@ -108,9 +108,9 @@ def links(df: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.transform(F.filter("_web", same), lambda x: x["target"]))).alias("internal_links"),
         count(lambda x: ~same(x)).alias("external_links_count"),
         F.struct(*[count(_has(r)).alias(r) for r in ("nofollow", "sponsored", "ugc", "noopener", "noreferrer")]).alias("link_rel_summary"),
-        F.slice(F.array_distinct(F.transform(F.filter("_web", lambda x: x["blank"] & ~F.array_contains(x["rel"], "noopener") & ~F.array_contains(x["rel"], "noreferrer")), lambda x: x["target"])), 1, 100).alias("unsafe_cross_origin"),
+        F.array_distinct(F.transform(F.filter("_web", lambda x: x["blank"] & ~F.array_contains(x["rel"], "noopener") & ~F.array_contains(x["rel"], "noreferrer")), lambda x: x["target"])).alias("_unsafe"),
         count(lambda x: (x["text"] == "") | key(x).isin(*GENERIC)).alias("n_vague_anchors"),
-    ).withColumn("n_internal_links", F.size("internal_links")).withColumn("n_unsafe_links", F.size("unsafe_cross_origin")).drop("_web")
+    ).withColumn("n_internal_links", F.size("internal_links")).withColumn("n_unsafe_links", F.size("_unsafe")).withColumn("unsafe_cross_origin", F.slice("_unsafe", 1, 100)).drop("_web", "_unsafe")
 
 
 def _has(rel: str):

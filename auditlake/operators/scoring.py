@@ -96,17 +96,27 @@ def _share(part: str, whole: str = "image_count") -> Column:
 
 
 def title_checks(df: DataFrame) -> DataFrame:
-    """Adds copies (rows of equal title), title_cut and ratio, the title category alone."""
+    """Adds copies (rows of equal title on the same site), title_cut and ratio, the title category alone."""
     wide = F.expr(f"{T.pixel_width('title', T.TITLE_FONT)} > {T.TITLE_LIMIT}")
     own = df.withColumn("title_cut", wide)
-    # Counted by hash aggregation and joined back: a common title isn't gathered in one window partition.
-    key = F.lower(F.trim("title"))
-    counts = own.groupBy(key.alias("_key")).agg(F.count("*").alias("copies"))
-    own = own.withColumn("_key", key).join(counts, "_key").drop("_key").withColumn("title_copies", F.col("copies"))
+    own = _copies(own, "title", "copies").withColumn("title_copies", F.col("copies"))
     category = next(c for c in categories(Compat()) if c.key == "title")
     return own.withColumn("ratio", _ratio(category))
 
 
+def _copies(df: DataFrame, name: str, out: str) -> DataFrame:
+    """Rows of the same site with an equal value, 1 for those without one.
+
+    Counted by hash aggregation and joined back: a common value isn't gathered in one window partition, and rows without a
+    value, which may be most, are dealt out by a salt.
+    """
+    key, site, salt = f"_{name}_key", f"_{name}_site", f"_{name}_salt"
+    own = df.withColumn(key, F.coalesce(F.lower(F.trim(name)), F.lit(""))).withColumn(site, U.site(F.col("url")))
+    own = own.withColumn(salt, F.when(F.col(key) == "", F.pmod(F.xxhash64("url"), F.lit(1024)) + 1).otherwise(F.lit(0)))
+    counts = own.where(f"{key} <> ''").groupBy(site, key, salt).agg(F.count("*").alias(out)).where(f"{out} > 1")
+    return own.join(counts, [site, key, salt], "left").withColumn(out, F.coalesce(out, F.lit(1).cast("long"))).drop(key, site, salt)
+
+
 def categories(compat: Compat) -> tuple[Category, ...]:
     title, length = F.trim(F.coalesce("title", F.lit(""))), F.length(F.trim(F.coalesce("title", F.lit(""))))
     has_title = title != ""
@@ -250,12 +260,10 @@ def _issues(c: Category, lost: Column) -> Column:
 
 
 def prepared(df: DataFrame) -> DataFrame:
-    """All inputs, null where df has none, and the number of rows of equal title and description."""
+    """All inputs, null where df has none, and the number of the site's rows of equal title and description."""
     own = df.select("*", *[F.lit(None).cast(kind).alias(k) for k, kind in INPUTS.items() if k not in df.columns])
     for name in ("title", "description"):
-        key, copies = f"_{name}_key", f"{name}_copies"
-        counts = own.groupBy(F.lower(F.trim(name)).alias(key)).agg(F.count("*").alias(copies)).where(f"{key} <> '' and {copies} > 1")
-        own = own.withColumn(key, F.lower(F.trim(name))).join(counts, key, "left").drop(key)
+        own = _copies(own, name, f"{name}_copies")
     return own
 
 

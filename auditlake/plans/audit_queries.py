@@ -35,7 +35,8 @@ def event_windows(spark, sf_dir):
 
 def _records(spark, sf_dir):
     own = records.full(html.parsed(table(spark, sf_dir, "pages"))).withColumn("title", F.col("page.title"))
-    return own.withColumn("page_type", U.page_type(F.col("url"), F.lit(0), F.lit(False)))
+    named = F.size(F.filter("page.jsonld", lambda d: d.rlike(r'"@type":\s*\[?"Product(Group)?"'))) + F.size(F.filter("page.items", lambda i: F.lower(i["type"]) == "product"))
+    return own.withColumn("page_type", U.page_type(F.col("url"), named, F.col("page.raw_text").rlike(audits.PRICE) & F.exists("page.ctas", lambda c: c["text"].rlike("(?i)winkelwagen|add to cart|in mand"))))
 
 
 @query()

@@ -37,4 +37,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import audit_queries, graph_queries, page_queries, text_queries  # noqa: F401
+    from . import audit_queries, commerce_queries, graph_queries, page_queries, site_queries, text_queries  # noqa: F401

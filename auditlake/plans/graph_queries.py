@@ -32,12 +32,13 @@ def orphan_crawled(spark, sf_dir):
     return graph.orphans(nodes, page_edges(spark, sf_dir).select("src", "dst"))
 
 
-@query(f"with {_EDGES}, m as (select distinct {_KEY('url')} node from pages), i as (select distinct dst from e where page_id % 2 = 0 and src <> dst) select dst node from (select distinct dst from e) where dst not in (select dst from i)")
+@query(f"with {_EDGES}, m as (select distinct {_KEY('url')} node from pages union select src from e union select dst from e), i as (select distinct dst from e where src <> dst and dst <> '') select node from m where node not in (select dst from i)")
 def orphan_sitemap(spark, sf_dir):
-    """Targets of all pages stand for a sitemap, the links of the even pages for a crawl."""
-    edges = page_edges(spark, sf_dir)
-    sitemap = edges.select(F.col("dst").alias("node"))
-    return graph.orphans(sitemap, edges.where("page_id % 2 = 0").select("src", "dst"))
+    """Every URL that pages or links name, in place of a sitemap, which the tables lack: those that no page's link reaches."""
+    edges = page_edges(spark, sf_dir).select("src", "dst")
+    nodes = table(spark, sf_dir, "pages").select(U.crawl_key(F.col("url")).alias("node"))
+    sitemap = nodes.unionByName(edges.select(F.col("src").alias("node"))).unionByName(edges.select(F.col("dst").alias("node")))
+    return graph.orphans(sitemap, edges)
 
 
 @query(f"with {_EDGES}, n as (select src node from e union select dst from e), d as (select distinct src, dst from e where src <> dst) select node, coalesce((select count(*) from d where d.dst = node), 0)::bigint in_degree, coalesce((select count(*) from d where d.src = node), 0)::bigint out_degree from n")

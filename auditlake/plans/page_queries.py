@@ -42,8 +42,8 @@ y as (select page_id, url, unnest(range(0, len(hr))) pos, hr, inn from z),
 a as (select page_id, url, pos::int pos, trim(hr[pos + 1]) href, {_COL(_UN("regexp_replace(inn[pos + 1], '<[^>]*>', ' ', 'g')"))} anchor from y),
 l as (select *, case when href like '/%' and href not like '//%' then lower({_P('url', 1)}) || '://' || {_P('url', 2)} || href else href end target from a)"""
 WORDS = r"regexp_extract_all(lower({}), '[a-zà-ÿ0-9][a-zà-ÿ0-9''-]+')"
-_TITLE = """
-s as (select *, count(*) over (partition by lower(trim(title))) copies from h),
+_TITLE = f"""
+s as (select *, case when trim(title) = '' then 1 else count(*) over (partition by {_SITE('url')}, lower(trim(title))) end copies from h),
 r as (select *, length(title) n,
         case when title = '' then 0 else (0.45::double + 0.3::double * (case when length(title) between 30 and 60 then 1 when length(title) between 15 and 70 then 0.5 else 0 end)::double
           + 0.15::double * (case when copies > 1 then 0 else 1 end)::double + 0.1::double * (case when wide > 580 then 0 else 1 end)::double) / (0.45::double + 0.3::double + 0.15::double + 0.1::double) end ratio from s)"""
@@ -122,10 +122,10 @@ def serp_pixel_width(spark, sf_dir):
     )
 
 
-@query(f"with {HEAD} select lower(trim(title)) title_key, count(*) pages, min(page_id) first_page from h where trim(title) <> '' group by 1 having count(*) > 1")
+@query(f"with {HEAD} select {_SITE('url')} host, lower(trim(title)) title_key, count(*) pages, min(page_id) first_page from h where trim(title) <> '' group by 1, 2 having count(*) > 1")
 def duplicate_titles(spark, sf_dir):
-    own = pages.head(table(spark, sf_dir, "pages")).select("page_id", F.lower(F.trim("title")).alias("title_key")).where("title_key <> ''")
-    return own.groupBy("title_key").agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page")).where("pages > 1")
+    own = pages.head(table(spark, sf_dir, "pages")).select("page_id", U.site(F.col("url")).alias("host"), F.lower(F.trim("title")).alias("title_key")).where("title_key <> ''")
+    return own.groupBy("host", "title_key").agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page")).where("pages > 1")
 
 
 @query(f"""with {ANCHORS}
@@ -173,25 +173,6 @@ def page_category_ratios(spark, sf_dir):
     return by.agg(*[F.max(F.when(F.col("b.key") == k, F.col("b.ratio"))).alias(k) for k in wanted])
 
 
-@query()
-def page_scores(spark, sf_dir):
-    """Score, grade and issue counts of every page."""
-    scored = scoring.score(scoring.from_pages(table(spark, sf_dir, "pages")))
-    return scored.select("page_id", "score", "grade", "points", "weight", "n_critical", "n_high", "n_medium", "n_low")
-
-
-@query()
-def site_scores(spark, sf_dir):
-    """Site score, grade and category means per host."""
-    return scoring.site_scores(scoring.score(scoring.from_pages(table(spark, sf_dir, "pages"))))
-
-
-@query()
-def top_issues(spark, sf_dir):
-    """The 40 most frequent issues by severity."""
-    return scoring.top_issues(scoring.score(scoring.from_pages(table(spark, sf_dir, "pages"))))
-
-
 @query(f"""with {HEAD}, b as (select {_SITE('url')} host, title <> '' title, description <> '' description, canonical <> '' canonical, lang <> '' lang, charset <> '' charset, h1_count > 0 h1, jsonld_count > 0 jsonld, image_count > 0 images, text <> '' "text" from h)
 select coalesce(host, 'ALL') host, count(*) pages, round(100 * avg(title::int), 1) title_pct, round(100 * avg(description::int), 1) description_pct, round(100 * avg(canonical::int), 1) canonical_pct,
  round(100 * avg(lang::int), 1) lang_pct, round(100 * avg(charset::int), 1) charset_pct, round(100 * avg(h1::int), 1) h1_pct, round(100 * avg(jsonld::int), 1) jsonld_pct, round(100 * avg(images::int), 1) images_pct, round(100 * avg("text"::int), 1) text_pct

@@ -41,9 +41,12 @@ def allowed(pages: DataFrame, hosts: DataFrame, agent: str = "Googlebot") -> Dat
     return joined.withColumn("robots_allowed", test("robots_txt", "url")).drop("robots_txt")
 
 
-def decoded(raw: bytes, content_type: str | None, most: int = 8_000_000) -> tuple[str, str, str, bool]:
-    """Text, encoding, where it was found and whether bytes were cut: header, byte-order mark, meta in the first 4 KB, else UTF-8."""
-    cut = len(raw) > most
+def decoded(raw: bytes, content_type: str | None, most: int | None = None) -> tuple[str, str, str, bool]:
+    """Text, encoding, where it was found and whether bytes were cut: header, byte-order mark, meta in the first 4 KB, else UTF-8.
+
+    Whole pages are read unless `most` bytes are asked for.
+    """
+    cut = most is not None and len(raw) > most
     raw = raw[:most]
     marks = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
     header = re.search(r"charset=[\"']?([\w-]+)", content_type or "", re.I)
@@ -59,6 +62,59 @@ def decoded(raw: bytes, content_type: str | None, most: int = 8_000_000) -> tupl
     return raw.decode("utf-8", "replace"), "utf-8", "fallback", cut
 
 
+def sitemap_index(files: DataFrame, most: int = 10) -> DataFrame:
+    """(domain, xml) -> domain, url, pos: the first `most` sitemaps that index files name, to be fetched as files of their own."""
+    index = files.where(F.col("xml").rlike("(?i)<sitemapindex"))
+    return sitemap(index).where(F.col("pos") < most)
+
+
+def unpacked(files: DataFrame) -> DataFrame:
+    """(domain, url, content) -> domain, url, xml: gzip by its first bytes or the name, anything else as it is."""
+
+    @F.pandas_udf("string")
+    def run(content: pd.Series) -> pd.Series:
+        import gzip
+        import zlib
+
+        def one(raw):
+            if raw is None:
+                return None
+            raw = bytes(raw)
+            try:
+                return (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode("utf-8", "replace")
+            except (OSError, EOFError, zlib.error):
+                return None
+
+        return content.map(one)
+
+    return files.select("domain", "url", run("content").alias("xml"))
+
+
+def included(pages: DataFrame, pattern: str | None) -> DataFrame:
+    """Pages whose url a pattern finds; all of them if there is no pattern, or none that can be read."""
+    try:
+        valid = pattern and re.compile(pattern)
+    except re.error:
+        valid = None
+    return pages.where(F.col("url").rlike(pattern)) if valid else pages
+
+
+def profile(domains: DataFrame, *layers: DataFrame, other: str = "generic") -> DataFrame:
+    """domain -> profile: the first layer (domain, profile) that names it, from the most to the least specific, else `other`."""
+    from ..functions import url as U
+
+    out, found = domains.select("domain").distinct().withColumn("_key", U.domain(F.col("domain"))), []
+    for k, layer in enumerate(layers):
+        own = layer.groupBy(U.domain(F.col("domain")).alias("_key")).agg(F.min("profile").alias(f"_p{k}"))
+        out, found = out.join(own, "_key", "left"), [*found, F.col(f"_p{k}")]
+    return out.select("domain", F.coalesce(*found, F.lit(other)).alias("profile"))
+
+
+def certificate_days(expires, today):
+    """Days from a date to a certificate's end."""
+    return F.datediff(F.to_date(expires), F.to_date(today))
+
+
 def decode_pages(files: DataFrame) -> DataFrame:
     """(url, content, content_type) -> url, html, encoding, encoding_source, truncated."""
 
