@@ -282,6 +282,8 @@ def linked(docs: DataFrame, reps: DataFrame, bound: DataFrame, j: Join) -> DataF
             discard(spark, close)
         discard(spark, near, wanted)
         groups = connected(edges)
+        # From here on the components stand for all edges so far: the next round starts from their stars.
+        edges = groups.select(F.col("component").alias("a"), F.col("id").alias("b")).where("a <> b")
         own, of = groups.toDF("id", "own_group"), groups.toDF("leader", "head_group")
         left = every.drop("group").join(own, "id", "left").join(of, "leader", "left")
         left = left.withColumn("inside", F.expr("coalesce(own_group, id) = coalesce(head_group, leader)"))
