@@ -24,17 +24,17 @@ from ..shipping import ship
 from .common import only
 
 #: Elements whose content is never text of the page.
-RAW = "script|style|title|textarea|noscript|template|iframe|noframes|noembed|xmp|option"
+RAW = "script|style|title|textarea|noscript|template|iframe|noframes|noembed|xmp"
 #: Elements that end a block.
 BLOCK = set(
     "address article aside blockquote body button caption center col colgroup dd details dialog dir div dl dt "
-    "fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu "
-    "nav ol optgroup p pre search section select summary svg table tbody td tfoot th thead tr ul video".split()
+    "fieldset datalist figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu "
+    "nav ol optgroup option p pre search section select summary svg table tbody td tfoot th thead tr ul video".split()
 )
 #: Elements that are furniture, and those that hold the article.
-FURNITURE = set("nav header footer aside form menu dialog button select fieldset svg search head".split())
+FURNITURE = set("nav header footer aside form menu dialog button select datalist option fieldset svg search head".split())
 ARTICLE = {"article", "main"}
-CONTAINERS = FURNITURE | ARTICLE | set("div section ul ol table td details figure body html blockquote".split())
+CONTAINERS = FURNITURE - {"option"} | ARTICLE | set("div section ul ol table td details figure body html blockquote".split())
 #: Words in class, id or role that mark furniture, and those that mark the article.
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notice|notification|alert"
@@ -49,8 +49,15 @@ TAG = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[/!?]?[a-z][^>]*(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.I | re.S,
 )
+#: Elements without blocks of their own, whose marks hold up to the next block.
+LINES = set("p pre h1 h2 h3 h4 h5 h6 li dt dd address figcaption option".split())
+#: Words that are as well the topic of an element whose class says that it is a post.
+TOPIC = re.compile(r"(?:^|(?<=[\s_-]))(?:legal|disclaimer|search|social|promo\w*|notice|alert|menu\w*|recommend\w*)(?=$|[\s_-]|\d)", re.I)
+POST = re.compile(r"(?:^|\s)(?:post|hentry|entry|article|story)(?:$|\s)", re.I)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+HIDDEN_ATTRIBUTE = re.compile(r"(?:^|[\s\"'])hidden(?=$|[\s=/])", re.I)
 
 
 @dataclass
@@ -90,6 +97,10 @@ TABLE = (
     (18, 0.0, 45, 0.0, 16, 0.0, 0, 0, 1), (30, 0.0, 3, 1.0, 20, 0.0, 0, 0, 1), (7, 0.0, 3, 0.0, 60, 0.0, 0, 1, 1),
     (110, 0.2, 0, 0.0, 0, 0.0, 0, 0, 1), (8, 0.0, 70, 0.0, 80, 0.0, 0, 0, 1), (6, 0.0, 40, 0.0, 90, 0.0, 0, 0, 1),
     (3, 0.0, 55, 0.0, 45, 0.0, 0, 0, 1), (17, 0.0, 20, 0.0, 25, 0.0, 0, 0, 1), (5, 0.0, 2, 0.9, 45, 0.0, 0, 1, 1),
+    # so is a paragraph at the start or the end of unmarked text, beside short blocks
+    (13, 0.0, 40, 0.0, 2, 0.0, 0, 0, 1), (12, 0.0, 60, 0.0, 0, 0.0, 0, 0, 1), (20, 0.0, 12, 0.0, 4, 0.0, 0, 0, 1),
+    (11, 0.0, 35, 0.0, 5, 0.0, 0, 0, 1), (15, 0.0, 30, 0.0, 3, 1.0, 0, 0, 1), (16, 0.0, 14, 0.0, 8, 0.0, 0, 0, 1),
+    (24, 0.0, 4, 1.0, 9, 0.0, 0, 0, 1), (13, 0.1, 25, 0.0, 1, 1.0, 0, 0, 1), (35, 0.0, 0, 0.0, 6, 0.0, 0, 0, 1),
     (2, 1.0, 3, 1.0, 2, 1.0, 0, 0, 0), (5, 0.8, 2, 1.0, 40, 0.0, 0, 0, 0), (12, 0.6, 9, 0.7, 10, 0.6, 0, 0, 0),
     (30, 0.7, 8, 1.0, 12, 1.0, 0, 0, 0), (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0), (6, 0.0, 1, 1.0, 0, 0.0, 0, 0, 0),
     (3, 0.0, 2, 0.0, 3, 0.0, 0, 0, 0), (7, 0.3, 4, 1.0, 3, 0.5, 0, 0, 0), (9, 0.5, 60, 0.0, 5, 1.0, 0, 0, 0),
@@ -133,9 +144,11 @@ def kind_of(name: str, attrs: str) -> int:
     if name in ARTICLE:
         return 1
     if attrs and name not in ("body", "html"):
-        if HIDDEN.search(attrs):
+        if HIDDEN.search(attrs) or HIDDEN_ATTRIBUTE.search(QUOTED.sub('""', attrs)):
             return -1
         named = " ".join(a or b or c for a, b, c in NAMED.findall(attrs))
+        if POST.search(named):
+            named = TOPIC.sub("", named)
         if named and MARKED.search(named):
             return -1
         if named and CONTENT.search(named):
@@ -192,6 +205,10 @@ def blocks(page: str) -> list[Block]:
                         stack.append((name, own))
                 kind = next((k for _, k in reversed(stack) if k), 0)
                 linked = 0
+            else:
+                kind = next((k for _, k in reversed(stack) if k), 0)
+                if name in LINES and not m["close"] and kind_of(name, m["attrs"]) == -1:
+                    kind = -1
             heading = int(not m["close"] and len(name) == 2 and name[0] == "h" and name[1].isdigit())
     if at < len(page):
         parts.append(page[at:])

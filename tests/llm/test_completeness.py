@@ -5,7 +5,7 @@ from math import comb
 import pytest
 from tokenizers import Tokenizer
 
-from auditlake.llm import line_dedup, near_duplicates, passages
+from auditlake.llm import line_dedup, main_text, near_duplicates, passages
 from auditlake.llm.tokens import Encoder, public_path
 
 from .conftest import prose
@@ -64,3 +64,25 @@ def test_recall_at_full_depth():
                 lost = (1 - share + share * lost) ** j.branches
             missed += chance(j.trees, first) * chance(j.width - j.trees, more) * lost**first
     assert missed < 1e-6
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # an option that nothing closes ends at the next block
+        ("<article><p>Before it.</p><select><option>A<option>B</select><p>After it.</p></article>", "Before it.\nAfter it."),
+        ("<article><p>Before it.</p><option>x<p>After it.</p></article>", "Before it.\nAfter it."),
+        # classes that only end in a word, or name the topic of a post
+        ("<article><div class='overflow-hidden'><p>Shown text.</p></div></article>", "Shown text."),
+        ("<article><div class='post legal'><p>On the law.</p></div></article>", "On the law."),
+        # marked paragraphs and headings inside an article
+        (
+            "<article><p class='advert'>Buy this.</p><p>One.</p><h2 class=newsletter>Join us.</h2><p>Two.</p><p hidden>No.</p><p>Three.</p></article>",
+            "One.\nTwo.\nThree.",
+        ),
+        # unmarked blocks
+        (f"<body><div>{'long ' * 40}</div><div>{'text ' * 13}</div><div>Short.</div></body>", f"{('long ' * 40).strip()}\n{('text ' * 13).strip()}"),
+    ],
+)
+def test_blocks_of_an_article(page, text):
+    assert main_text.main_text(page) == text
