@@ -54,13 +54,26 @@ def quoted(words) -> str:
     return ",".join("'" + w.replace("'", "''") + "'" for w in words)
 
 
+def lowered(text: str) -> str:
+    """Lower case, one character for each: U+0130 alone would become two."""
+    return f"lower(translate({text}, '\u0130', 'i'))"
+
+
 def words(text: str) -> str:
     """Lower-cased words of a SQL string expression."""
-    return f"regexp_extract_all(lower({text}), '{_WORD_SQL}', 0)"
+    return f"regexp_extract_all({lowered(text)}, '{_WORD_SQL}', 0)"
 
 
 def shingle_tokens(text: str) -> str:
-    return f"regexp_extract_all(lower({text}), '{TOKEN}', 0)"
+    return f"regexp_extract_all({lowered(text)}, '{TOKEN}', 0)"
+
+
+def rounded(number: str, digits: int) -> str:
+    """A double to so many decimals as DuckDB rounds it: the scaled double, halves away from zero.
+
+    Spark's round() takes the shortest decimal notation instead, which parts from it next to a half.
+    """
+    return f"(round({number} * 1e{digits}D, 0) / 1e{digits}D)"
 
 
 def sentence_count(text: str) -> str:
@@ -87,8 +100,8 @@ def flesch(n_words: str, n_sentences: str, n_syllables: str, lang: str) -> str:
     """Reading ease, one decimal; the Dutch variant for nl. Null under 30 words."""
     asl, asw = f"({n_words} / {n_sentences})", f"({n_syllables} / {n_words})"
     return (
-        f"case when {n_words} < 30 then null when {lang} = 'nl' then round(206.84D - 0.93D * {asl} - 77D * {asw}, 1) "
-        f"else round(206.835D - 1.015D * {asl} - 84.6D * {asw}, 1) end"
+        f"case when {n_words} < 30 then null when {lang} = 'nl' then {rounded(f'(206.84D - 0.93D * {asl} - 77D * {asw})', 1)} "
+        f"else {rounded(f'(206.835D - 1.015D * {asl} - 84.6D * {asw})', 1)} end"
     )
 
 
