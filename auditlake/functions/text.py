@@ -56,7 +56,7 @@ def quoted(words) -> str:
 
 def lowered(text: str) -> str:
     """Lower case, one character for each: U+0130 alone would become two."""
-    return f"lower(translate({text}, '\u0130', 'i'))"
+    return f"lower(replace({text}, '\u0130', 'i'))"
 
 
 def words(text: str) -> str:
@@ -155,6 +155,7 @@ def ngrams(tokens: str, n: int) -> str:
 
 
 def shingles(tokens: str, k: int = 5) -> str:
-    """Distinct k-word shingles in order; the distinct words of a shorter text."""
-    long = f"array_distinct(transform(sequence(1, size({tokens}) - {k - 1}), i -> array_join(slice({tokens}, i, {k}), ' ')))"
-    return f"case when size({tokens}) >= {k} then {long} else array_distinct({tokens}) end"
+    """Distinct k-word shingles in order, as 64-bit hashes; the distinct words of a shorter text."""
+    hashes = f"transform({tokens}, x -> xxhash64(x))"
+    long = f"transform(array({hashes}), h -> transform(sequence(1, size(h) - {k - 1}), i -> xxhash64(slice(h, i, {k}))))[0]"
+    return f"array_distinct(case when size({tokens}) >= {k} then {long} else {hashes} end)"

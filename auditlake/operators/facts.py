@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions import url as U
 from .records import NEXT_GEN, extension
 
@@ -93,7 +94,7 @@ def ordered_clusters(clusters: DataFrame) -> DataFrame:
 
 def top_pairs(pairs: DataFrame, most: int = 25) -> DataFrame:
     """The most similar pairs (a, b, shared, together)."""
-    return pairs.select("a", "b", F.round(F.col("shared") / F.col("together"), 3).alias("similarity")).orderBy(F.desc("similarity"), "a", "b").limit(most)
+    return pairs.select("a", "b", F.expr(T.rounded("(shared / together)", 3)).alias("similarity")).orderBy(F.desc("similarity"), "a", "b").limit(most)
 
 
 def top_ranks(ranks: DataFrame, most: int = 15) -> DataFrame:

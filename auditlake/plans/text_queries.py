@@ -117,7 +117,7 @@ j as (select a, b, shared::int shared, (sizes - shared)::int together from p whe
 @query(f"with {_SETS} select a, b, shared, together, round(shared / together::double, 3) similarity from j")
 def jaccard_pairs(spark, sf_dir):
     sets = near_duplicates.shingle_sets(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return near_duplicates.similar(sets, "doc_id").withColumn("similarity", F.round(F.col("shared") / F.col("together"), 3))
+    return near_duplicates.similar(sets, "doc_id").withColumn("similarity", F.expr(T.rounded("(shared / together)", 3)))
 
 
 @query(f"""with recursive {_SETS}, b2 as (select a x, b y from j union all select b, a from j),
