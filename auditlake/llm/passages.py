@@ -4,7 +4,9 @@ Texts become words (A-Z read as a-z). Of every `w` neighbouring k-word windows t
 seed, so that equal passages of w + k - 1 words share one, whatever surrounds them. A seed that several documents
 hold is joined with its first place, by doc_id and position; so a place gives one row, however common it is. So is every
 two neighbouring seeds at their distance: where a passage's seeds come earlier in other documents, one by one, the pairs
-across them lead to the document that holds them together, and their pieces overlap by a seed. In each
+across them lead to the document that holds them together, and their pieces overlap by a seed. Windows of min_words
+words around shared seeds are looked up whole, so that no passage that is equal word for word depends on who holds its
+seeds first. In each
 later document, matches with one earlier document are chained in order, each adding k and paying a cost for the
 words it skips on either side; a Fenwick tree over the earlier document's positions finds the best chain to go on
 from. Chains are aligned word by word: between seeds by edit distance, outwards along the diagonal until
@@ -25,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -330,11 +332,70 @@ def repeated(docs: DataFrame, p: Passages = Passages()) -> DataFrame:
     anchors = anchors.select("doc", "src", "pos", "src_pos", F.expr("explode(if(span = 0, array(0), array(0, span)))").alias("off"))
     anchors = anchors.select("doc", "src", F.expr("pos + off").alias("pos"), F.expr("src_pos + off").alias("src_pos"))
     found = written(chains(anchors, p), "chains")
+    whole = _whole_windows(docs, found, flat, shared, texts, p)
+    found = found.unionByName(whole)
     wanted = found.select("doc").unionByName(found.select(F.col("src").alias("doc"))).distinct()
     words = _words(docs, written(wanted.join(texts, "doc"), "wanted"), p)
     return merged(alignments(found, words, p), p).unionByName(copies)
 
 
+def _whole_windows(docs: DataFrame, found: DataFrame, flat: DataFrame, shared: DataFrame, texts: DataFrame, p: Passages, passes: int = 4) -> DataFrame:
+    """Chains (doc, src, xs, ys) of windows of min_words words that an earlier document holds word for word, whatever holds their seeds first.
+
+    Such a window has a seed among its first w, which both documents have at the same place in it. So the windows around
+    every seed that an earlier document holds are looked up by their own hash, but for seeds whose windows all lie inside
+    one chain. One share of the windows at a time bounds the exchange.
+    """
+    ship(docs.sparkSession)
+    size, back = p.min_words, min(p.w - 1, p.min_words - p.k)
+    single = flat.where("span = 0").select("hash", "doc", "pos")
+    later = single.join(shared.select("hash", "src"), "hash").where("doc <> src").select("hash", "doc", "pos")
+    # A chain of seeds alone at one distance, none further apart than they reach, is equal word for word.
+    even = f"forall(sequence(0, size(xs) - 1), i -> i = 0 or (xs[i] - xs[i - 1] = ys[i] - ys[i - 1] and xs[i] - xs[i - 1] <= {p.k}))"
+    inside = found.where(even).select(F.col("doc").alias("_doc"), F.expr("xs[0]").alias("low"), F.expr(f"element_at(xs, -1) + {p.k}").alias("high"))
+    inside = inside.where(f"high - low >= {size + back}")
+    within = (F.col("doc") == F.col("_doc")) & F.expr(f"low <= pos - {back} and high >= pos + {size}")
+    hashes = later.join(inside, within, "left_anti").select("hash").distinct()
+    places = single.join(hashes, "hash", "left_semi").groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("places"))
+    places = written(places.join(texts, "doc"), "places")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 64):
+                some = batch.slice(low, 64)
+                ids, keys, starts = [], [], []
+                for doc, text, own, at in zip(*(some.column(c).to_pylist() for c in ("doc", "text", "print", "places")), strict=True):
+                    words = word_hashes(text)
+                    if len(words) < size or hashlib.blake2b(words.tobytes(), digest_size=16).digest() != own:
+                        continue
+                    mark = np.zeros(len(words) - size + 1, bool)
+                    for k in at:
+                        mark[max(0, k - back) : k + 1] = True
+                    at = np.flatnonzero(mark)
+                    ids.append(np.full(len(at), doc, np.int64))
+                    keys.append(windows(words, size)[at].view(np.int64))
+                    starts.append(at.astype(np.int32))
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, starts)], names=["key", "doc", "at"])
+
+    rows = only(docs, "doc_id", "text").select(F.col("doc_id").try_cast("long").alias("doc"), "text").where("doc is not null and text is not null")
+    rows = rows.where(marked(places, "doc")).join(places, "doc").select("doc", "text", "print", "places")
+    every = written(rows.mapInArrow(run, "key long, doc long, at int"), "windows")
+    out = None
+    for k in range(passes):
+        part = every.where(f"pmod(key, {passes}) = {k}")
+        first = part.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("f"), F.max("doc").alias("last")).where("last > f.doc")
+        hit = part.join(first.select("key", F.col("f.doc").alias("src"), F.col("f.at").alias("src_at")), "key").where("doc <> src")
+        hit = written(hit.select("doc", "src", "at", "src_at"), "hits")
+        out = hit if out is None else out.unionByName(hit)
+    # neighbouring windows of one source and distance are one chain
+    by = Window.partitionBy("doc", "src", "apart").orderBy("at")
+    runs = out.distinct().withColumn("apart", F.expr("at - src_at")).withColumn("run", F.col("at") - F.row_number().over(by))
+    runs = runs.groupBy("doc", "src", "apart", "run").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    ends = f"array(low, high + {size - p.k})"
+    return written(runs.select("doc", "src", F.expr(ends).alias("xs"), F.expr(f"transform({ends}, x -> cast(x - apart as int))").alias("ys")), "whole")
+
+
 def _words(docs: DataFrame, wanted: DataFrame, p: Passages) -> DataFrame:
     """doc, words (32-bit hashes) of the wanted (doc, print)."""
 
