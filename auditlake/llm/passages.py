@@ -5,8 +5,8 @@ seed, so that equal passages of w + k - 1 words share one, whatever surrounds th
 hold is joined with its first place, by doc_id and position; so a place gives one row, however common it is. So is every
 two neighbouring seeds at their distance: where a passage's seeds come earlier in other documents, one by one, the pairs
 across them lead to the document that holds them together, and their pieces overlap by a seed. Windows of min_words
-words around shared seeds are looked up whole, so that no passage that is equal word for word depends on who holds its
-seeds first. In each
+words whose seeds are all shared, but which no passage found so far holds, are looked up whole, so that no passage that
+is equal word for word depends on who holds its seeds first. In each
 later document, matches with one earlier document are chained in order, each adding k and paying a cost for the
 words it skips on either side; a Fenwick tree over the earlier document's positions finds the best chain to go on
 from. Chains are aligned word by word: between seeds by edit distance, outwards along the diagonal until
@@ -328,34 +328,82 @@ def repeated(docs: DataFrame, p: Passages = Passages()) -> DataFrame:
     place = F.struct("doc", "pos")
     shared = flat.groupBy("hash").agg(F.min(place).alias("f"), F.max("doc").alias("last")).where("last > f.doc")
     shared = shared.select("hash", F.col("f.doc").alias("src"), F.col("f.pos").alias("src_pos"))
-    anchors = flat.join(shared, "hash").where("doc <> src")
-    anchors = anchors.select("doc", "src", "pos", "src_pos", F.expr("explode(if(span = 0, array(0), array(0, span)))").alias("off"))
+    held = flat.join(shared, "hash").where("doc <> src").select("doc", "src", "pos", "src_pos", "span")
+    held = written(held, "anchors")
+    anchors = held.select("doc", "src", "pos", "src_pos", F.expr("explode(if(span = 0, array(0), array(0, span)))").alias("off"))
     anchors = anchors.select("doc", "src", F.expr("pos + off").alias("pos"), F.expr("src_pos + off").alias("src_pos"))
     found = written(chains(anchors, p), "chains")
-    whole = _whole_windows(docs, found, flat, shared, texts, p)
-    found = found.unionByName(whole)
+    near = written(_aligned(docs, found, texts, p), "aligned")
+    once = written(merged(near, p), "merged")
+    hashes = _open_seeds(own, held, once, texts, p)
+    more = written(_aligned(docs, _whole_windows(docs, flat, hashes, texts, p), texts, p), "aligned")
+    again = written(more.select("doc").distinct(), "again")
+    rest = once.join(again, once["doc_id"] == again["doc"], "left_anti")
+    anew = merged(near.join(again, "doc", "left_semi").unionByName(more), p)
+    return rest.unionByName(anew).unionByName(copies)
+
+
+def _aligned(docs: DataFrame, found: DataFrame, texts: DataFrame, p: Passages) -> DataFrame:
+    """The written chains as aligned passages, over the words of the documents that they name."""
     wanted = found.select("doc").unionByName(found.select(F.col("src").alias("doc"))).distinct()
     words = _words(docs, written(wanted.join(texts, "doc"), "wanted"), p)
-    return merged(alignments(found, words, p), p).unionByName(copies)
+    return alignments(found, words, p)
 
 
-def _whole_windows(docs: DataFrame, found: DataFrame, flat: DataFrame, shared: DataFrame, texts: DataFrame, p: Passages, passes: int = 4) -> DataFrame:
+def open_starts(n: int, h: np.ndarray, at: np.ndarray, shared: np.ndarray, spans: list[tuple[int, int]], p: Passages) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the min_words windows of a text of n words that no span holds and whose seeds are all shared, and the first seed of each.
+
+    h, at: all seeds of the text; shared: whether an earlier document holds them. Whoever holds a window holds the
+    seeds that its words alone decide, so that a window with one that isn't shared is in no earlier document.
+    """
+    count = n - p.min_words + 1
+    if count < 1 or not len(at):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    grams = n - p.k + 1
+    bits = np.uint64(grams.bit_length())
+    upper = h.view(np.uint64) >> bits
+    # A seed stands for the windows of w k-word windows from low to high: from where it comes in, if it is smaller than the one before, else from where that one drops out.
+    low = np.r_[0, np.where(upper[1:] < upper[:-1], at[1:] - p.w + 1, at[:-1] + 1)]
+    high = np.r_[low[1:] - 1, max(0, grams - p.w)]
+    own = max(1, p.min_words - p.k - p.w + 2)  # windows of w k-word windows inside one of min_words words
+    change = np.zeros(count + 1, np.int64)
+    for first, last in ((low[~shared] - own + 1, high[~shared]), (np.array([s for s, _ in spans], np.int64), np.array([e for _, e in spans], np.int64) - p.min_words)):
+        some = (last >= first) & (first < count) & (last >= 0)
+        np.add.at(change, np.maximum(first[some], 0), 1)
+        np.add.at(change, np.minimum(last[some] + 1, count), -1)
+    starts = np.flatnonzero(np.cumsum(change[:-1]) == 0)
+    return starts, np.searchsorted(low, starts, "right") - 1
+
+
+def _open_seeds(own: DataFrame, held: DataFrame, once: DataFrame, texts: DataFrame, p: Passages) -> DataFrame:
+    """The hashes (hash) of seeds around which windows have to be looked up: those of open_starts()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.empty(0, np.int64)]
+            lists = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column(x) for x in ("hashes", "places", "shared"))]
+            for k, (n, spans) in enumerate(zip(batch.column("n").to_pylist(), batch.column("spans").to_pylist(), strict=True)):
+                h, at, shared = (flat[ends[k] : ends[k + 1]] for flat, ends in lists)
+                at = at.astype(np.int64)
+                out.append(h[np.unique(open_starts(n, h, at, np.isin(at, shared), [(x["start"], x["end"]) for x in spans or ()], p)[1])])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)), pa.int64())], names=["hash"])
+
+    shared = held.where("span = 0").groupBy("doc").agg(F.collect_set("pos").alias("shared"))
+    spans = once.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    seeds_of = own.where(f"n >= {p.min_words}").select(F.col("doc_id").alias("doc"), "print", "n", "hashes", "places")
+    rows = shared.join(spans, "doc", "left").join(texts, "doc").join(seeds_of, ["doc", "print"]).select("n", "hashes", "places", "shared", "spans")
+    return written(rows.mapInArrow(run, "hash long").distinct(), "open")
+
+
+def _whole_windows(docs: DataFrame, flat: DataFrame, hashes: DataFrame, texts: DataFrame, p: Passages, passes: int = 4) -> DataFrame:
     """Chains (doc, src, xs, ys) of windows of min_words words that an earlier document holds word for word, whatever holds their seeds first.
 
     Such a window has a seed among its first w, which both documents have at the same place in it. So the windows around
-    every seed that an earlier document holds are looked up by their own hash, but for seeds whose windows all lie inside
-    one chain. One share of the windows at a time bounds the exchange.
+    the seeds of the written hashes are looked up by their own hash. One share of the windows at a time bounds the exchange.
     """
     ship(docs.sparkSession)
     size, back = p.min_words, min(p.w - 1, p.min_words - p.k)
-    single = flat.where("span = 0").select("hash", "doc", "pos")
-    later = single.join(shared.select("hash", "src"), "hash").where("doc <> src").select("hash", "doc", "pos")
-    # A chain of seeds alone at one distance, none further apart than they reach, is equal word for word.
-    even = f"forall(sequence(0, size(xs) - 1), i -> i = 0 or (xs[i] - xs[i - 1] = ys[i] - ys[i - 1] and xs[i] - xs[i - 1] <= {p.k}))"
-    inside = found.where(even).select(F.col("doc").alias("_doc"), F.expr("xs[0]").alias("low"), F.expr(f"element_at(xs, -1) + {p.k}").alias("high"))
-    inside = inside.where(f"high - low >= {size + back}")
-    within = (F.col("doc") == F.col("_doc")) & F.expr(f"low <= pos - {back} and high >= pos + {size}")
-    hashes = later.join(inside, within, "left_anti").select("hash").distinct()
+    single = flat.where("span = 0").where(marked(hashes, "hash")).select("hash", "doc", "pos")
     places = single.join(hashes, "hash", "left_semi").groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("places"))
     places = written(places.join(texts, "doc"), "places")
 
