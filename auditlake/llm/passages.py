@@ -336,7 +336,11 @@ def repeated(docs: DataFrame, p: Passages = Passages()) -> DataFrame:
     near = written(_aligned(docs, found, texts, p), "aligned")
     once = written(merged(near, p), "merged")
     hashes = _open_seeds(own, held, once, texts, p)
-    more = written(_aligned(docs, _whole_windows(docs, flat, hashes, texts, p), texts, p), "aligned")
+    # Chains inside a passage of the first round add nothing to it.
+    inside = once.select(F.col("doc_id").alias("_doc"), "start", "end")
+    within = (F.col("doc") == F.col("_doc")) & F.expr(f"start <= xs[0] and element_at(xs, -1) + {p.k} <= end")
+    whole = written(_whole_windows(docs, flat, hashes, texts, p).join(inside, within, "left_anti"), "whole")
+    more = written(_aligned(docs, whole, texts, p), "aligned")
     again = written(more.select("doc").distinct(), "again")
     rest = once.join(again, once["doc_id"] == again["doc"], "left_anti")
     anew = merged(near.join(again, "doc", "left_semi").unionByName(more), p)
@@ -441,7 +445,7 @@ def _whole_windows(docs: DataFrame, flat: DataFrame, hashes: DataFrame, texts: D
     runs = out.distinct().withColumn("apart", F.expr("at - src_at")).withColumn("run", F.col("at") - F.row_number().over(by))
     runs = runs.groupBy("doc", "src", "apart", "run").agg(F.min("at").alias("low"), F.max("at").alias("high"))
     ends = f"array(low, high + {size - p.k})"
-    return written(runs.select("doc", "src", F.expr(ends).alias("xs"), F.expr(f"transform({ends}, x -> cast(x - apart as int))").alias("ys")), "whole")
+    return runs.select("doc", "src", F.expr(ends).alias("xs"), F.expr(f"transform({ends}, x -> cast(x - apart as int))").alias("ys"))
 
 
 def _words(docs: DataFrame, wanted: DataFrame, p: Passages) -> DataFrame:
