@@ -130,46 +130,68 @@ def chained(x: np.ndarray, y: np.ndarray, k: int, cost: float) -> list[np.ndarra
     return out
 
 
+def _whole_documents(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """The columns of batches, which are sorted by the first one, cut between two values of it."""
+    held: list[list[np.ndarray]] = []  # the last document's rows, which may go on in the next batch
+    for batch in batches:
+        cols = [batch.column(c).to_numpy() for c in names]
+        if not len(cols[0]):
+            continue
+        cut = int(np.flatnonzero(np.r_[True, np.diff(cols[0]) != 0])[-1])
+        if held and held[-1][0][-1] != cols[0][0]:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held = []
+        if cut:
+            yield [np.concatenate(x) for x in zip(*held, [c[:cut] for c in cols], strict=True)]
+            held = []
+        held.append([c[cut:] for c in cols])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def chains(anchors: DataFrame, p: Passages) -> DataFrame:
     """Rows (doc, src, pos, src_pos), dealt by doc and sorted -> chains with their positions on either side.
 
     A passage of min_words has two seeds; matches without another one of any source that near are left out.
     """
 
-    def of(doc: int, src: np.ndarray, x: np.ndarray, y: np.ndarray, out: list) -> None:
-        other = np.r_[True, (np.diff(src) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)]  # a seed and its pairs give equal rows
-        src, x, y = src[other], x[other], y[other]
-        near = np.diff(x) <= p.min_words
+    def of(doc: np.ndarray, src: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of whole documents."""
+        same = np.diff(doc) == 0
+        other = np.r_[True, ~same | (np.diff(src) != 0) | (np.diff(x) != 0) | (np.diff(y) != 0)]  # a seed and its pairs give equal rows
+        doc, src, x, y = doc[other], src[other], x[other].astype(np.int64), y[other].astype(np.int64)
+        near = (np.diff(x) <= p.min_words) & (np.diff(doc) == 0)
         keep = np.r_[near, False] | np.r_[False, near]
-        src, x, y = src[keep], x[keep], y[keep]
-        for s in np.unique(src):
-            own = src == s
-            for c in chained(x[own], y[own], p.k, p.gap_cost):
-                out.append((doc, int(s), x[own][c], y[own][c]))
-
-    def flush(out: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), _lists([r[2] for r in out], pa.int32()), _lists([r[3] for r in out], pa.int32())],
-            names=["doc", "src", "xs", "ys"],
-        )
+        doc, src, x, y = doc[keep], src[keep], x[keep], y[keep]
+        if not len(doc):
+            return
+        order = np.lexsort((src, doc))
+        doc, src, x, y = doc[order], src[order], x[order], y[order]
+        first = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(src) != 0)])
+        sizes = np.diff(np.r_[first, len(doc)])
+        # Matches on one diagonal, each less than a match's worth of cost after the last, are one chain, the best there is.
+        step = np.diff(x)
+        apart = np.r_[False, (step != np.diff(y)) | (step < 1) | (2 * p.gap_cost * step > p.k - 0.01)]
+        apart[first] = False
+        straight = np.add.reduceat(apart.astype(np.int64), first) == 0
+        rows = np.repeat(straight, sizes)
+        yield flush(doc[first[straight]], src[first[straight]], sizes[straight], x[rows], y[rows])
+        some: list = []
+        for a, n in zip(first[~straight], sizes[~straight], strict=True):
+            for c in chained(x[a : a + n], y[a : a + n], p.k, p.gap_cost):
+                some.append((doc[a], src[a], len(c), x[a : a + n][c], y[a : a + n][c]))
+        if some:
+            docs, srcs, lengths, xs, ys = zip(*some, strict=True)
+            yield flush(np.array(docs), np.array(srcs), np.array(lengths), np.concatenate(xs), np.concatenate(ys))
+
+    def flush(doc: np.ndarray, src: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        ends = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int32))) for v in (x, y)]
+        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(src, pa.int64()), *lists], names=["doc", "src", "xs", "ys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None  # the last document's rows, which may go on in the next batch
-        for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("doc", "src", "pos", "src_pos")]
-            if held is not None:
-                cols = [np.concatenate([a, b]) for a, b in zip(held, cols, strict=True)]
-            cuts = np.r_[0, np.flatnonzero(np.diff(cols[0])) + 1, len(cols[0])]
-            out: list = []
-            for a, b in zip(cuts[:-2], cuts[1:-1], strict=True):
-                of(int(cols[0][a]), cols[1][a:b], cols[2][a:b].astype(np.int64), cols[3][a:b].astype(np.int64), out)
-            held = [c[cuts[-2] :] for c in cols]
-            if out:
-                yield flush(out)
-        if held is not None and len(held[0]):
-            out = []
-            of(int(held[0][0]), held[1], held[2].astype(np.int64), held[3].astype(np.int64), out)
-            yield flush(out)
+        for cols in _whole_documents(batches, ("doc", "src", "pos", "src_pos")):
+            yield from of(*cols)
 
     dealt = anchors.repartition("doc").sortWithinPartitions("doc", "pos", "src", "src_pos")
     return dealt.mapInArrow(run, "doc long, src long, xs array<int>, ys array<int>")
@@ -221,16 +243,67 @@ def aligned(x: list[int], y: list[int], a: np.ndarray, b: np.ndarray, a0: int, b
     return start, end, src_start, src_end, matches
 
 
+def _extensions(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, n: np.ndarray, way: int, drop: int) -> tuple[np.ndarray, np.ndarray]:
+    """_extension() for many stretches of at most n words from at_a and at_b on, forwards or backwards."""
+    step = np.arange(int(n.max(initial=0)))
+    if not len(step):
+        return np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+    valid = step < n[:, None]
+    equal = valid & (a[np.where(valid, at_a[:, None] + way * step, 0)] == b[np.where(valid, at_b[:, None] + way * step, 0)])
+    score = np.cumsum(np.where(equal, 1, -2), axis=1, dtype=np.int32)
+    low = valid & (np.maximum.accumulate(np.maximum(score, 0), axis=1) - score > drop)
+    end = np.where(low.any(axis=1), low.argmax(axis=1), n)
+    score[step >= end[:, None]] = -(1 << 30)
+    best = score.argmax(axis=1)
+    most = score[np.arange(len(n)), best].astype(np.int64)
+    found = np.where(most > 0, best + 1, 0)
+    return found, np.where(most > 0, (most + 2 * found) // 3, 0)  # a match adds 1, a mismatch takes 2
+
+
+def _aligned_rows(batch: pa.RecordBatch, p: Passages) -> pa.RecordBatch:
+    """aligned() for a batch of chains: at once where a chain's words are the same on either side, one by one elsewhere."""
+    doc, src, a0, b0 = (batch.column(c).to_numpy().astype(np.int64) for c in ("doc", "src", "a0", "b0"))
+    parts = [(x.values.to_numpy(), x.offsets.to_numpy().astype(np.int64)) for x in (batch.column(c) for c in ("xs", "ys", "a", "b"))]
+    (xs, ends), (ys, ends_y), (a, ends_a), (b, ends_b) = parts
+    x0, y0, x1, y1 = xs[ends[:-1]].astype(np.int64), ys[ends_y[:-1]].astype(np.int64), xs[ends[1:] - 1].astype(np.int64), ys[ends_y[1:] - 1].astype(np.int64)
+    size = x1 + p.k - x0
+    at_a, at_b = ends_a[:-1] + x0 - a0, ends_b[:-1] + y0 - b0
+    # chains on one diagonal
+    off = xs[ends[0] : ends[-1]].astype(np.int64) - ys[ends_y[0] : ends_y[-1]]
+    same = np.add.reduceat((off != np.repeat(x0 - y0, np.diff(ends))).astype(np.int64), ends[:-1] - ends[0]) == 0
+    short = np.flatnonzero(same & (size <= 256))
+    if len(short):
+        starts = np.r_[0, np.cumsum(size[short])]
+        within = np.arange(starts[-1]) - np.repeat(starts[:-1], size[short])
+        differ = a[np.repeat(at_a[short], size[short]) + within] != b[np.repeat(at_b[short], size[short]) + within]
+        same[short] = np.add.reduceat(differ.astype(np.int64), starts[:-1]) == 0
+    for k in np.flatnonzero(same & (size > 256)):
+        same[k] = np.array_equal(a[at_a[k] : at_a[k] + size[k]], b[at_b[k] : at_b[k] + size[k]])
+    some = np.flatnonzero(same)
+    room = np.minimum(x0 - a0, y0 - b0)[some]
+    left, found = _extensions(a, b, at_a[some] - 1, at_b[some] - 1, room, -1, p.drop)
+    after_a, after_b = (at_a + size)[some], (at_b + size)[some]
+    right, more = _extensions(a, b, after_a, after_b, np.minimum(ends_a[1:][some] - after_a, ends_b[1:][some] - after_b), 1, p.drop)
+    matches, length = size[some] + found + more, size[some] + left + right
+    columns = [doc[some], x0[some] - left, x0[some] - left + length, src[some], y0[some] - left, y0[some] - left + length, matches]
+    columns = [c[matches >= p.min_identity * length] for c in columns]
+    rest = []
+    for k in np.flatnonzero(~same):
+        got = aligned(xs[ends[k] : ends[k + 1]].tolist(), ys[ends_y[k] : ends_y[k + 1]].tolist(), a[ends_a[k] : ends_a[k + 1]], b[ends_b[k] : ends_b[k + 1]], int(a0[k]), int(b0[k]), p)
+        if got:
+            rest.append((doc[k], got[0], got[1], src[k], got[2], got[3], got[4]))
+    if rest:
+        columns = [np.r_[c, np.array(r, np.int64)] for c, r in zip(columns, zip(*rest, strict=True), strict=True)]
+    return _rows(columns, ALIGNED)
+
+
 ALIGNED = "doc long, start int, end int, src long, src_start int, src_end int, matches int"
 
 
-def _rows(out: list[tuple], schema: str) -> pa.RecordBatch:
+def _rows(columns: list, schema: str) -> pa.RecordBatch:
     names = [x.split() for x in schema.split(", ")]
-    columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
     kinds = {"int": pa.int32(), "long": pa.int64()}
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(c), kinds[k]) for c, (_, k) in zip(columns, names, strict=True)], names=[n for n, _ in names]
-    )
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, names, strict=True)], names=[n for n, _ in names])
 
 
 def alignments(found: DataFrame, words: DataFrame, p: Passages) -> DataFrame:
@@ -238,16 +311,8 @@ def alignments(found: DataFrame, words: DataFrame, p: Passages) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            plain = (batch.column(c).to_pylist() for c in ("doc", "src", "xs", "ys", "a0", "b0"))
-            lists = (batch.column(c) for c in ("a", "b"))
-            parts = [(x.values.to_numpy(), x.offsets.to_pylist()) for x in lists]
-            for k, (doc, src, xs, ys, a0, b0) in enumerate(zip(*plain, strict=True)):
-                a, b = (flat[ends[k] : ends[k + 1]] for flat, ends in parts)
-                got = aligned(xs, ys, a, b, a0, b0, p)
-                if got:
-                    out.append((doc, got[0], got[1], src, got[2], got[3], got[4]))
-            yield _rows(out, ALIGNED)
+            for low in range(0, batch.num_rows, 2048):
+                yield _aligned_rows(batch.slice(low, 2048), p)
 
     cut = lambda at, ends: F.expr(
         f"slice(words, {at} + 1, element_at({ends}, -1) + {p.k + p.margin} - {at})"
@@ -262,37 +327,20 @@ def alignments(found: DataFrame, words: DataFrame, p: Passages) -> DataFrame:
 def merged(found: DataFrame, p: Passages) -> DataFrame:
     """Passages of a document that overlap by k words as one, with the longest one's source; only long ones stay."""
 
-    def of(rows: list[tuple], out: list) -> None:
-        """rows: (doc, start, end, src, src_start, src_end, matches), by start"""
-        group: list[tuple] = []
-        end = -1
-
-        def close() -> None:
-            if group and end - group[0][1] >= p.min_words:
-                best = min(group, key=lambda r: (r[1] - r[2], r[3], r[4]))
-                out.append((group[0][0], group[0][1], end, end - group[0][1], best[3], best[4], best[5], len({r[3] for r in group})))
-
-        for r in rows:
-            if group and r[1] > end - p.k:
-                close()
-                group, end = [], -1
-            group.append(r)
-            end = max(end, r[2])
-        close()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            out: list = []
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][0] != r[0]:
-                    of(held, out)
-                    held = []
-                held.append(r)
-            yield _rows(out, MERGED)
-        out = []
-        of(held, out)
-        yield _rows(out, MERGED)
+        for doc, start, end, src, src_start, src_end, _ in _whole_documents(batches, tuple(x.split()[0] for x in ALIGNED.split(", "))):
+            # the furthest end so far in a document: documents are told apart by the upper bits
+            rank = np.cumsum(np.r_[0, np.diff(doc) != 0]) << 32
+            far = np.maximum.accumulate(rank + end)
+            new = np.r_[True, (rank + start)[1:] > far[:-1] - p.k]
+            first = np.flatnonzero(new | np.r_[True, np.diff(rank) != 0])
+            last = np.r_[first[1:], len(doc)] - 1
+            length = (far[last] - rank[last]) - start[first]
+            out = []
+            for a, z, n in zip(*(v[length >= p.min_words].tolist() for v in (first, last + 1, length)), strict=True):
+                best = min(range(a, z), key=lambda r: (start[r] - end[r], src[r], src_start[r]))
+                out.append((doc[a], start[a], start[a] + n, n, src[best], src_start[best], src_end[best], len(np.unique(src[a:z]))))
+            yield _rows(list(zip(*out, strict=True)) if out else [[]] * 8, MERGED)
 
     dealt = found.repartition("doc").sortWithinPartitions("doc", "start", "end", "src", "src_start")
     return dealt.mapInArrow(run, MERGED)

@@ -12,7 +12,6 @@ from itertools import chain
 import numpy as np
 from pyspark import SparkContext
 
-from . import shingles
 
 #: Pieces remembered by one memo, in two generations of half as many; at about 150 bytes each.
 MEMO_ENTRIES = 700_000
@@ -137,7 +136,6 @@ def forget() -> None:
 
 def encoder(spec: str) -> Encoder:
     """One encoder a Python worker and tokenizer file."""
-    shingles.forget()
     found = _encoders.get(spec)
     if found is None:
         _encoders.clear()
